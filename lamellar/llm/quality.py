@@ -15,8 +15,8 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 #: A document must keep this share of its words; lines with fewer words must end as sentences do; symbols per 100 words that a line may have.
 KEEP_PERCENT, NAVIGATION_WORDS, SYMBOL_PERCENT, BOILERPLATE_WORDS = 60, 10, 30, 30
-#: Of a line with as many words, the least share that are different words.
-MANY_WORDS, DIFFERENT_PERCENT = 15, 35
+#: A line with as many words must have this share of different ones among so many of them at most: long lines need no more.
+MANY_WORDS, DIFFERENT_PERCENT, COUNTED_WORDS = 15, 35, 200
 #: The symbols counted, what ends a sentence, and phrases of boilerplate lines.
 SYMBOLS = "#*$%&|<>"
 SENTENCE_END = f"[.!?:;…。！？»”’\"')\\]][{N.WHITE_CLASS}]*\\z"
@@ -30,7 +30,7 @@ def line_fails(line: Column) -> Column:
     """Whether a line that has a word breaks a rule: symbols, navigation (short, no sentence end), shouting, boilerplate or the same words over and over."""
     n = F.regexp_count(line, F.lit(f"{_WORD}+"))
     symbols = F.length(F.regexp_replace(line, f"[^{SYMBOLS}]+", ""))
-    return (symbols * 100 > n * SYMBOL_PERCENT) | ((n < NAVIGATION_WORDS) & ~line.rlike(SENTENCE_END)) | ((n >= 3) & line.rlike(SHOUTING)) | ((n <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)) | ((n >= MANY_WORDS) & (F.size(F.array_distinct(N.words(line))) * 100 < n * DIFFERENT_PERCENT))
+    return (symbols * 100 > n * SYMBOL_PERCENT) | ((n < NAVIGATION_WORDS) & ~line.rlike(SENTENCE_END)) | ((n >= 3) & line.rlike(SHOUTING)) | ((n <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)) | ((n >= MANY_WORDS) & (F.size(F.array_distinct(N.words(line))) * 100 < F.least(n, F.lit(COUNTED_WORDS)) * DIFFERENT_PERCENT))
 
 
 def repeated_words(words: Column) -> Column:
