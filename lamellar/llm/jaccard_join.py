@@ -202,8 +202,7 @@ def _sets_with_pivots(docs: DataFrame, part_bytes: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with common and joint, the sizes of intersection and union."""
-    a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("_a")), sets.select(F.col("node").alias("b"), F.col("set").alias("_b"))
+    """pairs (a, b and their keys ka, kb among the sets: key, set) as a, b, common and joint, the sizes of intersection and union."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +214,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 joint.append(len(one) + len(two) - n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common_, pa.int64()), pa.array(joint, pa.int64())], names=["a", "b", "common", "joint"])
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "_a", "_b").mapInArrow(compare, "a long, b long, common long, joint long")
+    one, two = sets.select(F.col("key").alias("ka"), F.col("set").alias("_a")), sets.select(F.col("key").alias("kb"), F.col("set").alias("_b"))
+    return pairs.join(two, "kb").join(one, "ka").select("a", "b", "_a", "_b").mapInArrow(compare, "a long, b long, common long, joint long")
 
 
 _LINKED = f"common * {DENOMINATOR} >= joint * {NUMERATOR}"
@@ -351,25 +351,32 @@ def jaccard_components(docs: DataFrame, part_bytes: int = PART_BYTES, cell_rows:
     """
     common.ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spark = docs.sparkSession
     every = common.settled(_sets_with_pivots(docs, part_bytes))
+    common.release(spark)
     shared = every.where("set is not null")
-    sets = shared.groupBy("node").agg(F.first("set").alias("set"))
-    star = shared.select(F.col("node").alias("b"), F.explode("pivots").alias("uid")).join(shared.select("uid", F.col("node").alias("a")), "uid").where("a <> b").select("a", "b").distinct()
-    first = common.settled(_verified(star, sets))
-    links = first.where(_LINKED).select("a", "b")
-    roots = components(links)
+    own = shared.select("uid", "node")
+    star = shared.select(F.col("uid").alias("kb"), F.col("node").alias("b"), F.explode("pivots").alias("ka")).join(own.select(F.col("uid").alias("ka"), F.col("node").alias("a")), "ka").where("a <> b")
+    star = star.groupBy("a", "b").agg(F.min("ka").alias("ka"), F.min("kb").alias("kb"))
+    first = common.settled(_verified(star, shared.select(F.col("uid").alias("key"), "set")))
+    common.release(spark)
+    roots = components(first.where(_LINKED).select("a", "b"))
 
     # What the pivots leave open: documents off a pivot, and all around a pivot that has others on its boundary.
     off = first.where(f"not ({_LINKED})")
     edge = off.where(_NEAR).select(F.col("a").alias("p")).distinct()
     around = first.where(_LINKED).join(edge, F.col("a") == F.col("p"), "left_semi").select(F.col("b").alias("node"))
     open_ = off.select(F.col("b").alias("node")).unionByName(around).distinct()
-    pairs = _second(common.settled(sets.join(open_, "node", "left_semi")), roots, cell_rows)
-    second = common.settled(_verified(pairs, sets).where(_LINKED).select("a", "b"))
+    chosen = own.join(open_, "node", "left_semi").groupBy("node").agg(F.min("uid").alias("uid"))
+    sets = common.settled(shared.select("uid", "set").join(chosen, "uid").select("node", "set"))
+    common.release(spark)
+    pairs = _second(sets, roots, cell_rows).select("a", "b", F.col("a").alias("ka"), F.col("b").alias("kb"))
+    second = common.settled(_verified(pairs, sets.select(F.col("node").alias("key"), "set")).where(_LINKED).select("a", "b"))
     if second.take(1):
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
 
     rooted = every.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = common.settled(rooted)
+    common.release(spark)
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("root", "least")
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.coalesce("least", "doc_id")).alias("component_id"))
