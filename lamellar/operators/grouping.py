@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,19 @@ def by_patterns(columns: list[str], patterns: tuple[str, ...]) -> list[list[str]
     return [own for i in range(len(regexes) + 1) if (own := [c for c, k in zip(columns, places, strict=True) if k == i])]
 
 
+def by_indices(columns: list[str], groups: Sequence[Sequence[int]]) -> list[list[str]]:
+    """Columns by their ordinals; each must be in one group."""
+    if sorted(i for g in groups for i in g) != list(range(len(columns))):
+        raise InvalidArgument("groups must have each ordinal once")
+    return [[columns[i] for i in g] for g in groups]
+
+
+def wide_alone(columns: list[str], sizes: dict[str, float], most: int, wide: float = 1024) -> list[list[str]]:
+    """Wide columns in groups of their own, the others together, at most so many to a group."""
+    small = [c for c in columns if sizes[c] < wide]
+    return [small[i : i + most] for i in range(0, len(small), most)] + [[c] for c in columns if sizes[c] >= wide]
+
+
 def average_bytes(df: DataFrame, sample_rows: int = 1000) -> dict[str, float]:
     """Average width of each column over a few rows."""
     measured = [f for f in df.schema.fields if type(f.dataType) not in _WIDTH]

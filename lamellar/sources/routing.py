@@ -1,0 +1,42 @@
+"""Whether a split of a keyed external table can be read as plain files or must be merged on read."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class Split:
+    """What a planner knows of a split."""
+
+    format: str = "parquet"
+    primary_keys: bool = False
+    merge_engine: str = "none"
+    files_overlap: bool = False
+    level_zero: bool = False
+    partition_keys: bool = False
+    blob_columns: bool = False
+    row_ranges: bool = False
+    schema_changed: bool = False
+    sidecar_files: bool = False
+    deletion_vector_bits: int | None = None
+
+
+#: Reasons against a direct read, in the order in which they are reported.
+RULES = (
+    ("format", lambda s: s.format != "parquet"),
+    ("partition keys are not in the files", lambda s: s.partition_keys),
+    ("blob columns", lambda s: s.blob_columns),
+    ("row ranges", lambda s: s.row_ranges),
+    ("schema changed", lambda s: s.schema_changed),
+    ("sidecar files", lambda s: s.sidecar_files),
+    ("merge engine", lambda s: s.primary_keys and s.merge_engine not in ("none", "deduplicate", "first-row")),
+    ("unmerged level", lambda s: s.primary_keys and s.level_zero),
+    ("overlapping keys", lambda s: s.primary_keys and s.files_overlap),
+    ("deletion vector", lambda s: s.deletion_vector_bits not in (None, 32)),
+)
+
+
+def reasons(split: Split) -> list[str]:
+    """Why the split needs a merge; none if its files can be read directly."""
+    return [name for name, against in RULES if against(split)]
