@@ -32,13 +32,13 @@ from lamellar.llm import kernels as K
 from lamellar.llm.substrings import PART_BYTES, _planes, _values
 
 SHINGLE = 5
-#: The link threshold as a share; sketch counters; documents of one cell outside its largest component that are compared at once; rounds before that limit is lifted.
+#: The link threshold as a share; least counters of a sketch; documents of one cell outside its largest component that are compared at once; rounds before that limit is lifted.
 NUMERATOR, DENOMINATOR = 4, 5
-COUNTERS, CELL_ROWS, ROUNDS = 64, 2048, 2
+COUNTERS, CELL_ROWS, ROUNDS = 16, 2048, 2
 #: Documents of one cell that are compared pair by pair without looking for its largest component.
 FEW = 32
 #: Documents whose cells make one bucket in the second join.
-BUCKET_DOCS = 4000
+BUCKET_DOCS = 16_000
 
 
 class Levels:
@@ -126,9 +126,45 @@ def cells(sets: list[np.ndarray], salt: np.ndarray | None = None, turn: int = 0)
     return np.concatenate(names), np.concatenate(owners)
 
 
+def counters(sizes: np.ndarray) -> np.ndarray:
+    """Counters of the sketch of a set: a power of two, one for some two shingles."""
+    return np.maximum(COUNTERS, 2 ** np.floor(np.log2(np.maximum(sizes, COUNTERS) / 1.5)).astype(np.int64))
+
+
 def sketch(values: np.ndarray) -> np.ndarray:
-    """Shingles per class of hashes, up to 255: two sets differ in at least the sum of the differences."""
-    return np.minimum(np.bincount((values >> np.uint64(5)).astype(np.int64) & (COUNTERS - 1), minlength=COUNTERS), 255).astype(np.uint8)
+    """Shingles per class of hashes: two sets differ in at least the sum of the differences.  Empty if a class has too many to count."""
+    n = int(counters(np.array([len(values)]))[0])
+    out = np.bincount((values >> np.uint64(5)).astype(np.int64) & (n - 1), minlength=n)
+    return out.astype(np.uint8) if out.max(initial=0) < 256 else np.zeros(0, np.uint8)
+
+
+class Sketches:
+    """Sketches of many sets, of one size together, for bounds on pairs."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.size = np.array([len(x) for x in rows], np.int64)
+        self.place, self.table = np.zeros(len(rows), np.int64), {}
+        for n in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == n)
+            self.place[own] = np.arange(len(own))
+            self.table[n] = np.stack([rows[i] for i in own.tolist()]) if n else np.zeros((len(own), 0), np.uint8)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """At least so many shingles are in one of the sets a[i], b[i] alone."""
+        out = np.zeros(len(a), np.int64)
+        kinds = self.size[a] << 32 | self.size[b]
+        for kind in np.unique(kinds).tolist():
+            one, two = kind >> 32, kind & 0xFFFFFFFF
+            own, least = np.flatnonzero(kinds == kind), min(one, two)
+            if not least:
+                continue
+            step = max(1, (4 << 20) // max(one, two))
+            for i in range(0, len(own), step):
+                k = own[i : i + step]
+                x = self.table[one][self.place[a[k]]].reshape(len(k), -1, least).sum(axis=1, dtype=np.int32)
+                y = self.table[two][self.place[b[k]]].reshape(len(k), -1, least).sum(axis=1, dtype=np.int32)
+                out[k] = np.abs(x - y).sum(axis=1)
+        return out
 
 
 def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
@@ -191,13 +227,14 @@ def _sets_with_pivots(docs: DataFrame, part_bytes: int) -> DataFrame:
                 "node": pa.array([int(n) if len(x) else None for n, x in zip(nodes, sets, strict=True)], pa.int64()),
                 "uid": pa.array(np.arange(len(sets)) + (part << 32)),
                 "set": pa.array([x.astype("<u8").tobytes() if s else None for x, s in zip(sets, shared, strict=True)], pa.binary()),
+                "sketch": pa.array([sketch(x).tobytes() if s else None for x, s in zip(sets, shared, strict=True)], pa.binary()),
                 "pivots": pa.array([pairs[at[i] : at[i + 1], 1].tolist() if s else None for i, s in enumerate(shared)], pa.list_(pa.int64())),
             }
         )
 
     sent = texts.groupBy("part").applyInArrow(send, "bucket int, part int, cells binary, docs binary")
     found = sent.groupBy("bucket").applyInArrow(meet, "part int, uids binary, pivots binary")
-    schema = "doc_id long, n_shingles long, node long, uid long, set binary, pivots array<bigint>"
+    schema = "doc_id long, n_shingles long, node long, uid long, set binary, sketch binary, pivots array<bigint>"
     return texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(join, schema)
 
 
@@ -218,6 +255,21 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(two, "kb").join(one, "ka").select("a", "b", "_a", "_b").mapInArrow(compare, "a long, b long, common long, joint long")
 
 
+def _near(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """pairs with near: whether sketches leave it possible that a and b are within twice the threshold distance."""
+    own = shared.select("uid", "sketch", "n_shingles")
+    one, two = (own.select(F.col("uid").alias(k), F.col("sketch").alias(f"_{k}"), F.col("n_shingles").alias(f"_n{k}")) for k in ("ka", "kb"))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, sizes = batch.num_rows, batch.column(6).to_numpy() + batch.column(7).to_numpy()
+            rows = [np.frombuffer(x.as_buffer(), np.uint8) if len(x.as_buffer()) else np.zeros(0, np.uint8) for c in (4, 5) for x in batch.column(c)]
+            apart = Sketches(rows).apart(np.arange(n), np.arange(n) + n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(apart * NUMERATOR <= sizes * (DENOMINATOR - NUMERATOR))], names=["a", "b", "ka", "kb", "near"])
+
+    return pairs.join(two, "kb").join(one, "ka").select("a", "b", "ka", "kb", "_ka", "_kb", "_nka", "_nkb").mapInArrow(bound, "a long, b long, ka long, kb long, near boolean")
+
+
 _LINKED = f"common * {DENOMINATOR} >= joint * {NUMERATOR}"
 #: Within twice the threshold distance: 1 - common / joint <= 2 (1 - t).
 _NEAR = F"common * {DENOMINATOR} >= joint * {2 * NUMERATOR - DENOMINATOR}"
@@ -254,12 +306,12 @@ def _spreader(size: int, turn: int):
                 order = np.argsort(bucket, kind="stable")
                 bounds = np.searchsorted(bucket[order], np.arange(size + 1))
                 node, root = rows.column(0).to_numpy(), rows.column(2).to_numpy()
-                sizes, sketches = np.array([len(x) for x in own], "<i8"), np.stack([sketch(x) for x in own])
+                sizes, sketches = np.array([len(x) for x in own], "<i8"), [sketch(x) for x in own]
                 for k in np.flatnonzero(np.diff(bounds)).tolist():
                     some = order[bounds[k] : bounds[k + 1]]
                     docs, place = np.unique(doc[some], return_inverse=True)
-                    values = [k, name[some].tobytes(), place.astype("<u4").tobytes(), node[docs].tobytes(), root[docs].tobytes(), sizes[docs].tobytes(), sketches[docs].tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32() if i == 0 else pa.binary()) for i, v in enumerate(values)], names=["bucket", "cells", "docs", "nodes", "roots", "sizes", "sketches"])
+                    values = [k, name[some].tobytes(), place.astype("<u4").tobytes(), node[docs].tobytes(), root[docs].tobytes(), sizes[docs].tobytes(), np.array([len(sketches[d]) for d in docs.tolist()], "<i4").tobytes(), b"".join([sketches[d].tobytes() for d in docs.tolist()])]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32() if i == 0 else pa.binary()) for i, v in enumerate(values)], names=["bucket", "cells", "docs", "nodes", "roots", "sizes", "lengths", "sketches"])
 
     return spread
 
@@ -273,7 +325,7 @@ def _comparer(cell_rows: int, last: bool):
         base = np.cumsum([0, *(len(x) for x in nodes)])
         doc = np.concatenate([p.astype(np.int64) + b for p, b in zip(places, base[:-1], strict=True)])
         node, root, sizes = np.concatenate(nodes), np.concatenate(col("roots", "<i8")), np.concatenate(col("sizes", "<i8"))
-        sketches = np.concatenate([x.reshape(-1, COUNTERS) for x in col("sketches", np.uint8)])
+        sketches = Sketches([part for x, n in zip(col("sketches", np.uint8), col("lengths", "<i4"), strict=True) for part in np.split(x, np.cumsum(n)[:-1])])
         name = np.concatenate(col("cells", np.uint64))
         order = np.lexsort((sizes[doc], name))
         name, doc = name[order], doc[order]
@@ -287,11 +339,8 @@ def _comparer(cell_rows: int, last: bool):
             """Documents a and b, not larger and larger, that can be linked."""
             fits = (sizes[b] * NUMERATOR <= sizes[a] * DENOMINATOR) & (root[a] != root[b])
             a, b = a[fits], b[fits]
-            for i in range(0, len(a), 100_000):
-                x, y = a[i : i + 100_000], b[i : i + 100_000]
-                apart = np.abs(sketches[x].astype(np.int16) - sketches[y]).sum(axis=1)
-                close = apart * (DENOMINATOR + NUMERATOR) <= (sizes[x] + sizes[y]) * (DENOMINATOR - NUMERATOR)
-                seen.append(np.stack([node[x[close]], node[y[close]]], axis=1))
+            close = sketches.apart(a, b) * (DENOMINATOR + NUMERATOR) <= (sizes[a] + sizes[b]) * (DENOMINATOR - NUMERATOR)
+            seen.append(np.stack([node[a[close]], node[b[close]]], axis=1))
 
         for k in np.flatnonzero(mixed & (n > FEW)).tolist():
             own = doc[start[k] : start[k] + n[k]]  # by size
@@ -325,7 +374,7 @@ def _second(sets: DataFrame, roots: DataFrame, cell_rows: int) -> DataFrame:
     size = max(1, -(-sets.count() // BUCKET_DOCS))
     named = sets.join(roots, "node", "left").select("node", "set", F.coalesce("root", "node").alias("root"))
     state, found = named.withColumn("cell", F.lit(None).cast("long")), None
-    schema = "bucket int, cells binary, docs binary, nodes binary, roots binary, sizes binary, sketches binary"
+    schema = "bucket int, cells binary, docs binary, nodes binary, roots binary, sizes binary, lengths binary, sketches binary"
 
     for turn in range(ROUNDS):
         last = turn == ROUNDS - 1
@@ -358,7 +407,9 @@ def jaccard_components(docs: DataFrame, part_bytes: int = PART_BYTES, cell_rows:
     own = shared.select("uid", "node")
     star = shared.select(F.col("uid").alias("kb"), F.col("node").alias("b"), F.explode("pivots").alias("ka")).join(own.select(F.col("uid").alias("ka"), F.col("node").alias("a")), "ka").where("a <> b")
     star = star.groupBy("a", "b").agg(F.min("ka").alias("ka"), F.min("kb").alias("kb"))
-    first = common.settled(_verified(star, shared.select(F.col("uid").alias("key"), "set")))
+    star = common.settled(_near(star, shared))
+    exact = _verified(star.where("near").drop("near"), shared.select(F.col("uid").alias("key"), "set"))
+    first = common.settled(exact.unionByName(star.where("not near").select("a", "b", F.lit(0).cast("long").alias("common"), F.lit(1).cast("long").alias("joint"))))
     common.release(spark)
     roots = components(first.where(_LINKED).select("a", "b"))
 

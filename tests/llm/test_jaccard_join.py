@@ -90,5 +90,5 @@ def test_linked_sets_share_a_cell():
         if common * 5 >= 4 * (len(a) + len(b) - common) and len(a) and len(b):
             name, own = J.cells([a, b])
             assert np.intersect1d(name[own == 0], name[own == 1]).size
-            apart = np.abs(J.sketch(a).astype(int) - J.sketch(b)).sum()
-            assert apart <= len(a) + len(b) - 2 * common
+            apart = J.Sketches([J.sketch(a), J.sketch(b)]).apart(np.array([0, 1]), np.array([1, 0]))
+            assert (apart <= len(a) + len(b) - 2 * common).all()
