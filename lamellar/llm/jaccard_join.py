@@ -29,16 +29,18 @@ from pyspark.sql import functions as F
 
 from lamellar.llm import common
 from lamellar.llm import kernels as K
-from lamellar.llm.substrings import PART_BYTES, _planes, _values
+from lamellar.llm.substrings import _planes, _values
 
 SHINGLE = 5
+#: Text bytes in a part: its sets and cells take some twenty times that in memory.
+PART_BYTES = 12 << 20
 #: The link threshold as a share; least counters of a sketch; documents of one cell outside its largest component that are compared at once; rounds before that limit is lifted.
 NUMERATOR, DENOMINATOR = 4, 5
 COUNTERS, CELL_ROWS, ROUNDS = 16, 2048, 2
 #: Documents of one cell that are compared pair by pair without looking for its largest component.
 FEW = 32
 #: Documents whose cells make one bucket in the second join.
-BUCKET_DOCS = 16_000
+BUCKET_DOCS = 6000
 
 
 class Levels:
