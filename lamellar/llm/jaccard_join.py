@@ -230,7 +230,7 @@ def _sets_with_pivots(docs: DataFrame, part_bytes: int) -> DataFrame:
                 "uid": pa.array(np.arange(len(sets)) + (part << 32)),
                 "set": pa.array([x.astype("<u8").tobytes() if s else None for x, s in zip(sets, shared, strict=True)], pa.binary()),
                 "sketch": pa.array([sketch(x).tobytes() if s else None for x, s in zip(sets, shared, strict=True)], pa.binary()),
-                "pivots": pa.array([pairs[at[i] : at[i + 1], 1].tolist() if s else None for i, s in enumerate(shared)], pa.list_(pa.int64())),
+                "pivots": pa.array([[p for p in pairs[at[i] : at[i + 1], 1].tolist() if p != i + (part << 32)] if s else None for i, s in enumerate(shared)], pa.list_(pa.int64())),
             }
         )
 
@@ -257,10 +257,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(two, "kb").join(one, "ka").select("a", "b", "_a", "_b").mapInArrow(compare, "a long, b long, common long, joint long")
 
 
-def _near(pairs: DataFrame, shared: DataFrame) -> DataFrame:
-    """pairs with near: whether sketches leave it possible that a and b are within twice the threshold distance."""
-    own = shared.select("uid", "sketch", "n_shingles")
-    one, two = (own.select(F.col("uid").alias(k), F.col("sketch").alias(f"_{k}"), F.col("n_shingles").alias(f"_n{k}")) for k in ("ka", "kb"))
+def _stars(shared: DataFrame) -> DataFrame:
+    """Pairs of a pivot a and a document b of one of its cells, with a key of each, and near: whether sketches leave it possible that they are within twice the threshold distance."""
+    cast = shared.select(F.explode("pivots").alias("pivot"), F.col("uid").alias("kb"), F.col("node").alias("b"), F.col("sketch").alias("_kb"), F.col("n_shingles").alias("_nb"))
+    heads = shared.select(F.col("uid").alias("pivot"), F.col("node").alias("a"), F.col("sketch").alias("_ka"), F.col("n_shingles").alias("_na"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,7 +269,9 @@ def _near(pairs: DataFrame, shared: DataFrame) -> DataFrame:
             apart = Sketches(rows).apart(np.arange(n), np.arange(n) + n)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(apart * NUMERATOR <= sizes * (DENOMINATOR - NUMERATOR))], names=["a", "b", "ka", "kb", "near"])
 
-    return pairs.join(two, "kb").join(one, "ka").select("a", "b", "ka", "kb", "_ka", "_kb", "_nka", "_nkb").mapInArrow(bound, "a long, b long, ka long, kb long, near boolean")
+    pairs = cast.join(heads, "pivot").where("a <> b").select("a", "b", F.col("pivot").alias("ka"), "kb", "_ka", "_kb", "_na", "_nb")
+    found = pairs.mapInArrow(bound, "a long, b long, ka long, kb long, near boolean")
+    return found.groupBy("a", "b").agg(F.min("ka").alias("ka"), F.min("kb").alias("kb"), F.max("near").alias("near"))
 
 
 _LINKED = f"common * {DENOMINATOR} >= joint * {NUMERATOR}"
@@ -407,9 +409,7 @@ def jaccard_components(docs: DataFrame, part_bytes: int = PART_BYTES, cell_rows:
     common.release(spark)
     shared = every.where("set is not null")
     own = shared.select("uid", "node")
-    star = shared.select(F.col("uid").alias("kb"), F.col("node").alias("b"), F.explode("pivots").alias("ka")).join(own.select(F.col("uid").alias("ka"), F.col("node").alias("a")), "ka").where("a <> b")
-    star = star.groupBy("a", "b").agg(F.min("ka").alias("ka"), F.min("kb").alias("kb"))
-    star = common.settled(_near(star, shared))
+    star = common.settled(_stars(shared))
     exact = _verified(star.where("near").drop("near"), shared.select(F.col("uid").alias("key"), "set"))
     first = common.settled(exact.unionByName(star.where("not near").select("a", "b", F.lit(0).cast("long").alias("common"), F.lit(1).cast("long").alias("joint"))))
     common.release(spark)
