@@ -20,9 +20,9 @@ import pyarrow as pa
 from lamellar.llm import kernels as K
 
 #: Distinct pieces remembered in a Python worker before it starts afresh.
-REMEMBERED = 1_200_000
+REMEMBERED = 500_000
 #: Text bytes encoded at once, and those hashed at once (which fit a core's cache).
-BLOCK_BYTES, PART_BYTES = 8 << 20, 256 << 10
+BLOCK_BYTES, PART_BYTES = 4 << 20, 256 << 10
 #: Pieces that make one string for the tokenizer.
 JOINED = 64
 
