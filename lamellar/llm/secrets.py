@@ -36,12 +36,21 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
 
 
 def candidates(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """A row per candidate: doc_id, n (its number in the text), before (an assigned name or the word before), joint (what stands between), secret, after."""
-    # A name and its assignment, or a word before; the candidate; what follows.
-    pattern = f"([^\\s=:\"']*)(\\s*[=:]\\s*[\"']?|\\s+[\"']?|[\"']|^)({BODY}{{{least},}}=*)([\"',;.]?(?:\\s+[^\\s]+)?)"
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(pattern), F.lit(0))).alias("n", "m"))
-    part = lambda i: F.regexp_extract("m", f"^{pattern}", i)
-    return found.select("doc_id", F.col("n").cast("long").alias("n"), part(1).alias("before"), part(2).alias("joint"), part(3).alias("secret"), part(4).alias("after"))
+    """A row per candidate: doc_id, n (its number in the text), before (an assigned name or the word before), joint (what stands between), secret, after.
+
+    Candidates are all tokens, so that two may be each other's neighbours; before
+    and after are read from the text around and reach over one more token at most.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # The sign after a name is no padding of the name.
+    token = f"(?<![^\\s=:\"'])(?<!{BODY}){BODY}{{{least},}}+(?:=++(?![\"']?{BODY}))?"
+    gap = lambda x, i: F.coalesce(F.get(x["gaps"], i), F.lit(""))
+    own = lambda x, i: F.coalesce(F.get(x["tokens"], i), F.lit(""))
+    around = lambda x: F.transform(x["tokens"], lambda t, i: F.struct(F.reverse(F.concat(gap(x, i - 1), own(x, i - 1), gap(x, i))).alias("left"), t.alias("secret"), F.concat(gap(x, i + 1), own(x, i + 1), gap(x, i + 2)).alias("right")))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(N.bind(F.struct(F.regexp_extract_all(text, F.lit(token), F.lit(0)).alias("tokens"), F.split(text, token).alias("gaps")), around)).alias("n", "m"))
+    # Backwards: what stands between, then a name or word.
+    back = lambda i: F.reverse(F.regexp_extract("m.left", "^([\"']?\\s*[=:]\\s*|[\"']?\\s+|[\"']?)([^\\s=:\"']*)", i))
+    return found.select("doc_id", F.col("n").cast("long").alias("n"), back(2).alias("before"), back(1).alias("joint"), F.col("m.secret").alias("secret"), F.regexp_extract("m.right", "^[\"',;.]?(?:\\s+[^\\s]+)?", 0).alias("after"))
 
 
 def features(found: DataFrame, words: list[str]) -> DataFrame:
