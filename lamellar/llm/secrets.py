@@ -1,8 +1,10 @@
 """Operator 3: secret scan with a random forest that removes false positives, in DataFrame functions only.
 
-Candidates are long unbroken tokens.  The forest sees a candidate's length, its
-transitions between classes of characters, the share of it that frequent words
-of the corpus cover, whether it looks like a path, and its neighbouring words.
+Candidates are long unbroken tokens, and shorter ones that are assigned to a
+name that tells of a secret, whatever character stands around them.  The forest
+sees a candidate's length, its transitions between classes of characters, the
+share of it that frequent words of the corpus cover, whether it looks like a
+path, and its neighbouring words.
 It is trained from labelled findings: a given table, or else those candidates of
 the corpus whose form or assignment leaves no doubt, in a sample of bounded size.
 """
@@ -22,8 +24,11 @@ from lamellar.llm import native as N
 BODY = "[A-Za-z0-9+/_.~-]"
 PREFIXED = "^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,})$"
 NAMES = "(?i)(pass|pwd|secret|token|api|key|auth|credential|private|bearer)"
-#: Least length of a candidate; labelled findings used, by class; words of the dictionary; trees and their depth.
-LEAST, TRAIN_ROWS, DICTIONARY, TREES, DEPTH, SEED = 16, 20_000, 300, 30, 8, 7
+#: What may open and close a quotation; what stands between a candidate and its name, read backwards.
+QUOTE = "[\"'`]"
+BETWEEN = f"[^A-Za-z0-9+/_.~\\-\\s=:\\p{{L}}\\p{{N}}]*+(?:\\s*+>?[=:]++\\s*+{QUOTE}?|\\s*+)"
+#: Least length of a candidate, and of one that is assigned to a telling name; labelled findings used, by class; words of the dictionary; trees and their depth.
+LEAST, ASSIGNED_LEAST, TRAIN_ROWS, DICTIONARY, TREES, DEPTH, SEED = 16, 6, 20_000, 300, 30, 8, 7
 
 FEATURES = ["length", "transitions", "vowel_turns", "distinct_share", "digit_share", "upper_share", "hex", "coverage", "path", "assigned", "quoted", "named", "before_plain", "after_plain"]
 
@@ -35,22 +40,31 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
     return [r["w"] for r in plain.groupBy("w").count().orderBy(F.desc("count"), "w").limit(size).collect()]
 
 
-def candidates(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def candidates(docs: DataFrame, least: int = LEAST, assigned_least: int = ASSIGNED_LEAST) -> DataFrame:
     """A row per candidate: doc_id, n (its number in the text), before (an assigned name or the word before), joint (what stands between), secret, after.
 
-    Candidates are all tokens, so that two may be each other's neighbours; before
-    and after are read from the text around and reach over one more token at most.
+    Candidates are all tokens of the least length, and those of assigned_least
+    that are assigned to a telling name.  Two may be each other's neighbours;
+    before and after are read from the text around and reach over one more
+    token at most.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # The sign after a name is no padding of the name.
-    token = f"(?<![^\\s=:\"'])(?<!{BODY}){BODY}{{{least},}}+(?:=++(?![\"']?{BODY}))?"
+    # The sign after a name is no padding of the name; one before white space may be both.
+    long = f"(?<!{BODY}){BODY}{{{least},}}+(?:=++(?!{QUOTE}?{BODY}))?"
+    short = f"(?:[=:]>?|(?<==)(?=\\s))\\s*+{QUOTE}?{BODY}{{{assigned_least},{least - 1}}}+(?!{BODY})"
+    token = f"{long}|{short}" if assigned_least < least else long
     gap = lambda x, i: F.coalesce(F.get(x["gaps"], i), F.lit(""))
     own = lambda x, i: F.coalesce(F.get(x["tokens"], i), F.lit(""))
-    around = lambda x: F.transform(x["tokens"], lambda t, i: F.struct(F.reverse(F.concat(gap(x, i - 1), own(x, i - 1), gap(x, i))).alias("left"), t.alias("secret"), F.concat(gap(x, i + 1), own(x, i + 1), gap(x, i + 2)).alias("right")))
+    tail = f"{BODY}+=*$"  # a short one comes with its sign of assignment
+
+    def around(x: Column) -> Column:
+        cut = F.transform(x["tokens"], lambda t, i: F.struct(F.reverse(F.concat(gap(x, i - 1), own(x, i - 1), gap(x, i), F.regexp_replace(t, tail, ""))).alias("left"), F.regexp_extract(t, tail, 0).alias("secret"), F.concat(gap(x, i + 1), own(x, i + 1), gap(x, i + 2)).alias("right")))
+        back = lambda m, i: F.reverse(F.regexp_extract(m["left"], f"^({BETWEEN})([^\\s=:\"'`]*)", i))
+        read = F.transform(cut, lambda m: F.struct(back(m, 2).alias("before"), back(m, 1).alias("joint"), m["secret"].alias("secret"), F.regexp_extract(m["right"], "^[\"',;.]?(?:\\s+[^\\s]+)?", 0).alias("after")))
+        return F.filter(read, lambda m: (F.length(F.rtrim(m["secret"], F.lit("="))) >= least) | (m["joint"].rlike("[=:]") & m["before"].rlike(NAMES)))
+
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(N.bind(F.struct(F.regexp_extract_all(text, F.lit(token), F.lit(0)).alias("tokens"), F.split(text, token).alias("gaps")), around)).alias("n", "m"))
-    # Backwards: what stands between, then a name or word.
-    back = lambda i: F.reverse(F.regexp_extract("m.left", "^([\"']?\\s*[=:]\\s*|[\"']?\\s+|[\"']?)([^\\s=:\"']*)", i))
-    return found.select("doc_id", F.col("n").cast("long").alias("n"), back(2).alias("before"), back(1).alias("joint"), F.col("m.secret").alias("secret"), F.regexp_extract("m.right", "^[\"',;.]?(?:\\s+[^\\s]+)?", 0).alias("after"))
+    return found.select("doc_id", F.col("n").cast("long").alias("n"), "m.before", "m.joint", "m.secret", "m.after")
 
 
 def features(found: DataFrame, words: list[str]) -> DataFrame:
@@ -71,7 +85,7 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
         "coverage": less(covered) / n,
         "path": F.regexp_count(s, F.lit("[/.]")) / n,
         "assigned": flag(F.col("joint").rlike("[=:]")),
-        "quoted": flag(F.col("joint").rlike("[\"']")),
+        "quoted": flag(F.col("joint").rlike(f"{QUOTE}$")),
         "named": flag(F.col("before").rlike(NAMES)),
         "before_plain": plain("before"),
         "after_plain": plain("after"),
