@@ -6,7 +6,7 @@ import uuid
 from bisect import bisect_right
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,9 @@ from lamellar.properties import Properties
 from lamellar.sources.store import normal, plain_path
 from lamellar.sources.writer import ROW
 
+#: Positions of a file with deletes whose living rows are numbered together.
+BLOCK_ROWS = 32_768
+
 
 class Table:
     """One version of a table.  schema: the logical columns, by default those stored; others read as NULL."""
@@ -49,13 +52,13 @@ class Table:
             raise InvalidArgument(f"unknown columns {missing}")
         return list(columns)
 
-    def _fragment(self, group: ColumnGroup, k: int, columns: list[str], base: int, low: int | None = None, high: int | None = None) -> DataFrame:
+    def _fragment(self, group: ColumnGroup, k: int, columns: list[str], base: int, low: int | None = None, high: int | None = None, numbered: bool = True) -> DataFrame:
         """Given columns and ROW, numbered in the table, of a fragment; low and high bound the table's rows."""
         f = group.fragments[k]
         types = {x.name: x for x in self.manifest.struct.fields}
         kept = T.StructType([types[c] for c in columns])
         if not f.buckets:
-            return self._external(f, kept, base, low, high)
+            return self._external(f, kept, base, low, high, numbered)
         shift, name = base - f.start, f"lamellar_r_{uuid.uuid4().hex}"
         fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in [*kept.fields, T.StructField(ROW, T.LongType())])
         self.spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY ({ROW}) SORTED BY ({ROW}) INTO {f.buckets} BUCKETS LOCATION '{f.path}'")
@@ -66,17 +69,17 @@ class Table:
             rows = rows.where((F.col(ROW) >= first) & (F.col(ROW) < last))
         return rows
 
-    def _external(self, f: Fragment, kept: T.StructType, base: int, low: int | None, high: int | None) -> DataFrame:
+    def _external(self, f: Fragment, kept: T.StructType, base: int, low: int | None, high: int | None, numbered: bool) -> DataFrame:
         rows = self.spark.read.schema(kept).parquet(f.path).select("*", F.col("_metadata.row_index").alias("__pos"), F.col("_metadata.file_path").alias("__file"))
         rows = rows.where((F.col("__pos") >= f.start) & (F.col("__pos") < f.end))
         if f.deletes:
             dels = self.spark.read.parquet(f.deletes)
             gone = dels.where(plain_path(F.col("file_path")) == normal(f.path)) if "file_path" in dels.columns else dels
             rows = deletes.without_vector(rows, gone)
-            order = gone.select(F.col("pos").cast("long").alias("pos")).distinct()
-            # The ordinal among living rows: the position less the deletes before it.
-            before = self._deleted_before(order, f)
-            rows = rows.join(F.broadcast(before), (F.col("__pos") > F.col("__from")) & (F.col("__pos") < F.col("__to")), "left").withColumn(ROW, F.col("__pos") - F.col("__gone") - f.start).drop("__from", "__to", "__gone")
+            if numbered:
+                rows = self._living(rows, gone, f, None if low is None else low - base, None if high is None else high - base)
+            else:
+                rows = rows.withColumn(ROW, F.lit(None).cast("long"))
         else:
             rows = rows.withColumn(ROW, F.col("__pos") - f.start)
         out = rows.drop("__pos", "__file").withColumn(ROW, F.col(ROW) + base)
@@ -84,18 +87,31 @@ class Table:
             out = out if bound is None else out.where(keep)
         return out.withColumn(ROW, F.col(ROW) - base + f.start)
 
-    def _deleted_before(self, order: DataFrame, f: Fragment) -> DataFrame:
-        """Runs between deleted positions of one file, with the number of deletes before each."""
-        gone = sorted(r["pos"] for r in order.where((F.col("pos") >= f.start) & (F.col("pos") < f.end)).collect())  # of a single file
-        edges = [f.start - 1, *gone, f.end]
-        return self.spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(zip(edges, edges[1:])) if b - a > 1], "__from long, __to long, __gone long")
-
-    def rows(self, columns: Sequence[str] | None = None, low: int | None = None, high: int | None = None) -> DataFrame:
+    def _living(self, rows: DataFrame, gone: DataFrame, f: Fragment, low: int | None, high: int | None) -> DataFrame:
+        """rows of one file that live, with ROW, their ordinal among them; low and high, ordinals too, leave out blocks of positions outside."""
+        block = lambda pos: F.floor((pos - f.start) / BLOCK_ROWS)
+        order = gone.select(F.col("pos").cast("long").alias("pos")).where((F.col("pos") >= f.start) & (F.col("pos") < f.end)).distinct()
+        less = {r["b"]: r["n"] for r in order.groupBy(block(F.col("pos")).alias("b")).agg(F.count("*").alias("n")).collect()}  # a number for each block
+        bases, before = [], 0
+        for b, at in enumerate(range(f.start, f.end, BLOCK_ROWS)):
+            live = min(BLOCK_ROWS, f.end - at) - less.get(b, 0)
+            if live and (low is None or before + live > low) and (high is None or before < high):
+                bases.append((b, before))
+            before += live
+        if bases:
+            rows = rows.where((F.col("__pos") >= f.start + bases[0][0] * BLOCK_ROWS) & (F.col("__pos") < f.start + (bases[-1][0] + 1) * BLOCK_ROWS))
+        known = self.spark.createDataFrame(bases, "__block long, __base long")
+        place = F.row_number().over(Window.partitionBy("__block").orderBy("__pos"))
+        numbers = rows.withColumn("__block", block(F.col("__pos"))).withColumn("__place", place)
+        return numbers.join(F.broadcast(known) if len(bases) <= deletes.BROADCAST_ROWS else known, "__block").withColumn(ROW, F.col("__base") + F.col("__place") - 1).drop("__block", "__base", "__place")
+
+    def rows(self, columns: Sequence[str] | None = None, low: int | None = None, high: int | None = None, numbered: bool = True) -> DataFrame:
         """Given columns, in that order, and ROW, their number in the table; rows in [low, high).
 
         Only groups that hold a column are read.  The groups of one write are joined
         by their stored ordinal in its buckets, without a shuffle.  Columns that are
         not stored are NULL; if none is, the first group gives the number of rows.
+        Where numbered is false, ROW may be NULL, as numbers among deletes cost a shuffle.
         """
         columns = self._columns(columns)
         types = {f.name: f.dataType for f in self.schema.fields}
@@ -105,6 +121,7 @@ class Table:
         used = sorted({self.manifest.group_of(c) for c in stored}) or [0]
         parts: list[DataFrame] = []
         groups = [self.manifest.groups[i] for i in used]
+        bounded = low is not None or high is not None
         aligned = len({tuple(f.rows for f in g.fragments) for g in groups}) == 1
         if aligned:
             base = 0
@@ -113,7 +130,7 @@ class Table:
                     glued = None
                     shifts = {g.fragments[k].start for g in groups}
                     for g in groups:
-                        own = self._fragment(g, k, [c for c in stored if c in g.columns], base, low, high)
+                        own = self._fragment(g, k, [c for c in stored if c in g.columns], base, low, high, numbered or bounded or len(groups) > 1)
                         if len(shifts) > 1:
                             own = own.withColumn(ROW, F.col(ROW) - g.fragments[k].start)
                         glued = own if glued is None else glued.join(own, ROW)
@@ -146,14 +163,14 @@ class Table:
         """Rows for which the predicate is true, which may use columns outside the projection; best_effort: a superset of them."""
         columns = self._columns(columns)
         if predicate is None:
-            out = self.rows(columns)
+            out = self.rows(columns, numbered=ordered)
         else:
             parsed = P.parse(self.spark, predicate, self.schema, best_effort)
-            every = self.rows([*columns, *[c for c in self.schema.fieldNames() if c not in columns]])
+            every = self.rows([*columns, *[c for c in self.schema.fieldNames() if c not in columns]], numbered=ordered)
             out = every if parsed.text is None else every.where(parsed.column)  # Catalyst prunes columns; groups without any are pruned here
             needed = _references(out, self.schema.fieldNames(), parsed.text)
             if set(needed) | set(columns) != set(self.schema.fieldNames()):
-                narrow = self.rows([*columns, *[c for c in needed if c not in columns]])
+                narrow = self.rows([*columns, *[c for c in needed if c not in columns]], numbered=ordered)
                 out = narrow if parsed.text is None else narrow.where(parsed.column)
         return (out.orderBy(ROW) if ordered else out).select(columns)
 

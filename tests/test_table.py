@@ -318,3 +318,27 @@ def test_command_line(spark, people, capsys):
 def test_layout_of_fragments():
     assert Fragment("p", 3, 10).rows == 7 and Fragment("p", 0, 10, live=4).rows == 4
     assert T.StructType.fromJson(Manifest().schema) == T.StructType([])
+
+
+def test_numbers_among_deletes(spark, tmp_path, monkeypatch):
+    from lamellar import table as module
+    from lamellar.sources.writer import ROW
+
+    folder, gone = str(tmp_path / "files"), {*range(0, 1000, 3), *range(64, 96), 999}
+    spark.range(1000).coalesce(1).write.parquet(folder)
+    path = external.explore(spark, folder)[0].path
+    spark.createDataFrame([(p,) for p in [*gone, *gone, 5000]], "pos long").write.parquet(str(tmp_path / "dels"))
+    monkeypatch.setattr(module, "BLOCK_ROWS", 32, raising=False)
+    for start, end in ((0, 1000), (50, 930)):
+        live = [i for i in range(start, end) if i not in gone]
+        root = str(tmp_path / f"table{start}")
+        external.register(spark, root, [external.Fragment(path, start, end, deletes=str(tmp_path / "dels"), live=len(live)), external.Fragment(path, 0, 10)])
+        t, every = module.Table.load(spark, root), [*live, *range(10)]
+        assert sorted((r[ROW], r.id) for r in t.rows().collect()) == list(enumerate(every))
+        assert sorted((r[ROW], r.id) for r in t.rows(low=30, high=301).collect()) == list(enumerate(every))[30:301]
+        assert [r.id for r in t.scan(ordered=True).collect()] == every and sorted(r.id for r in t.scan().collect()) == sorted(every)
+        asked = [0, 20, 21, 22, len(live) - 1, len(live), len(every) - 1]
+        assert [r.id for r in t.take(asked).collect()] == [every[k] for k in asked]
+        for df in (t.scan(), t.rows(), t.take(asked)):
+            assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in t.scan()._jdf.queryExecution().executedPlan().toString()
