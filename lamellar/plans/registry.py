@@ -82,11 +82,6 @@ def _(spark, d):
     return table(spark, d, "events", SIZES).scan()
 
 
-@query("s05_scan_empty", "SELECT r_regionkey, r_name FROM region WHERE 1 = 0")
-def _(spark, d):
-    return Table.load(spark, shared_path(spark, "none"), schema=source(spark, d, "region").schema).scan()
-
-
 @query("s06_scan_all_missing", "SELECT CAST(NULL AS BIGINT) AS phantom FROM nation")
 def _(spark, d):
     return table(spark, d, "nation", schema=T.StructType([T.StructField("phantom", T.LongType())])).scan(["phantom"])

@@ -342,3 +342,12 @@ def test_numbers_among_deletes(spark, tmp_path, monkeypatch):
         for df in (t.scan(), t.rows(), t.take(asked)):
             assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
         assert "Window" not in t.scan()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scan_of_nothing_written(spark, sf, tmp_path):
+    """A case of its own: as a query it would run on fixed small input alone."""
+    from lamellar.plans import registry
+
+    assert "s05_scan_empty" not in registry.QUERIES
+    empty = Table.load(spark, str(tmp_path / "none"), schema=registry.source(spark, sf, "region").schema).scan()
+    assert empty.columns == ["r_regionkey", "r_name"] and empty.collect() == []
