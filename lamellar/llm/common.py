@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +32,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    sc = spark.sparkContext
+    """The folder that driver and executors share: spark.checkpoint.dir; in a single local process, as in tests, a local one will do."""
+    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamellar-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lamellar-"))
+    return named or sc.getCheckpointDir()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -58,6 +62,22 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_names(taken: Sequence[str], *names: str) -> list[str]:
+    """The names, each with underscores in front until no taken column has it, in whatever case."""
+    out, held = [], {c.lower() for c in taken}
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,6 +86,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts(docs: DataFrame, part_bytes: int) -> int:
+    """How many parts of at most about part_bytes of text to deal documents into; small tables still make work for all tasks."""
+    n = text_bytes(docs)
+    return max(1, -(-n // part_bytes), min(partitions(docs.sparkSession), n >> 20))
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a column, for sizing groups of work."""
     return docs.agg(F.sum(F.octet_length(column)).cast("long").alias("n")).first()["n"] or 0

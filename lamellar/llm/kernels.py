@@ -8,7 +8,10 @@ text as an empty one.
 
 from __future__ import annotations
 
+import random
+import secrets
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +25,6 @@ WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _IS_WHITE = np.zeros(256, dtype=bool)
 _IS_WHITE[list(WHITE)] = True
 
-_MASK = (1 << 64) - 1
-
-
-def _splitmix(seed: int, n: int) -> np.ndarray:
-    """n reproducible 64-bit numbers."""
-    with np.errstate(over="ignore"):
-        z = np.uint64(seed) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return mix(z)
-
 
 def mix(z: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
@@ -40,45 +34,103 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-class Rolling:
-    """Polynomial (Rabin-Karp) hashes of any slice of a sequence, modulo 2**64.
+#: Fixed value: the Mersenne prime of all polynomial hashes.
+PRIME = (1 << 61) - 1
+_P, _31, _30, _61 = np.uint64(PRIME), np.uint64(31), np.uint64(30), np.uint64(61)
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+#: Bytes of a slice whose exponents are kept in tables; longer slices are hashed piece by piece.
+SEGMENT = 1 << 20
+#: Bytes hashed together.
+CACHED_BYTES = 1 << 15
 
-    With P[i] the sum of v[j] * base**j for j < i, the hash of [s, e) is
-    (P[e] - P[s]) * base**-s.  The powers are kept between calls.
-    """
 
-    def __init__(self, base: int):
-        self.base = base | 5
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self._up = self._down = np.ones(1, dtype=np.uint64)
-
-    @staticmethod
-    def _powers(base: int, n: int) -> np.ndarray:
-        out = np.full(n, base, dtype=np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    def grow(self, n: int) -> None:
-        if len(self._up) < n:
-            n = max(n, 1 << 16)
-            self._up, self._down = self._powers(self.base, n), self._powers(self.inverse, n)
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        self.grow(len(values) + 1)
-        out = np.zeros(len(values) + 1, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(values * self._up[: len(values)], out=out[1:])
-        return out
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _61)
+    return x - _P * (x >= _P)
 
-    def slices(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        self.grow(len(prefix))
-        with np.errstate(over="ignore"):
-            return mix((prefix[end] - prefix[start]) * self._down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """a * b modulo PRIME, for numbers below it."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    mid = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << np.uint64(1)) + (mid >> _30) + ((mid & _LOW30) << _31) + a0 * b0)
+
+
+class Rabin:
+    """Rabin-Karp hashes: polynomials modulo the prime 2**61 - 1 at a base that the seed draws.
+
+    Two given sequences of n items collide for at most n of the 2**61 bases.
+    """
+
+    def __init__(self, seed: int):
+        self.base = random.Random(seed).randrange(1 << 32, PRIME)
+        self._high = self._low = np.zeros(0, np.uint64)
+
+    def _grow(self, n: int) -> None:
+        if len(self._low) < n:
+            n, out = max(n, 4096), np.ones(1, np.uint64)
+            while len(out) < n:
+                out = np.concatenate([out, times(out, np.uint64(pow(self.base, len(out), PRIME)))])
+            self._high, self._low = out >> _31, out & _LOW31
+
+    def slices(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of each slice of bytes."""
+        size = end - start
+        longest = int(size.max(initial=0))
+        if longest > SEGMENT:
+            out = np.zeros(len(start), np.uint64)
+            short = size <= SEGMENT
+            out[short] = self.slices(raw, start[short], end[short])
+            for i in np.flatnonzero(~short).tolist():
+                cut = np.arange(start[i], end[i], SEGMENT)
+                parts = self.slices(raw, cut, np.minimum(cut + SEGMENT, end[i])).tolist()
+                out[i] = sum(x * pow(self.base, SEGMENT * k, PRIME) for k, x in enumerate(parts)) % PRIME
+            return out
+        self._grow(longest)
+        out, upto, low = np.zeros(len(start), np.uint64), np.concatenate([[0], np.cumsum(size)]), 0
+        while low < len(start):  # as many slices at once as a core's cache holds
+            high = max(low + 1, int(np.searchsorted(upto, upto[low] + CACHED_BYTES, side="right")) - 1)
+            out[low:high] = self._sums(raw, start[low:high], size[low:high], upto[low : high + 1] - upto[low])
+            low = high
+        return out
 
-_BYTES = (_splitmix(11, 256), _splitmix(12, 256))
-_ROLL = (Rolling(0x5851F42D4C957F2D), Rolling(0x2545F4914F6CDD1D))
-_WORDS = (Rolling(0x369DEA0F31A53F85), Rolling(0xD1342543DE82EF95))
+    def _sums(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        inner = np.arange(upto[-1])
+        place = inner - np.repeat(upto[:-1], size)  # in its slice
+        value = raw[place + np.repeat(start, size)].astype(np.uint64) + np.uint64(1)
+        total = lambda table: np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * table[place])])  # noqa: E731  differences of up to 2**60 are exact
+        high, low = total(self._high), total(self._low)
+        high, low = high[upto[1:]] - high[upto[:-1]], low[upto[1:]] - low[upto[:-1]]
+        return _reduced(times(_reduced(high), np.uint64(1 << 31)) + _reduced(low))
+
+    def windows(self, values: np.ndarray, size: int) -> np.ndarray:
+        """Hash of every window of so many consecutive values (below PRIME)."""
+        step = CACHED_BYTES // 8
+        return np.concatenate([self._doubled(values[i : i + step + size - 1], size) for i in range(0, len(values) - size + 1, step)])
+
+    def _doubled(self, values: np.ndarray, size: int) -> np.ndarray:
+        """By doubling: the hash of 2k values is that of k and of k."""
+        out, done, power, span = None, 0, values, 1
+        n = len(values) - size + 1
+        while True:
+            if size & span:
+                own = power[done : done + n]
+                out = own if out is None else _reduced(out + times(own, np.uint64(pow(self.base, done, PRIME))))
+                done += span
+            if done == size:
+                return out
+            power = _reduced(power[:-span] + times(power[span:], np.uint64(pow(self.base, span, PRIME))))
+            span *= 2
+
+
+@lru_cache(maxsize=16)
+def rabin(seed: int) -> Rabin:
+    return Rabin(seed)
+
+
+def seed() -> int:
+    """A new seed: an operator draws one on the driver and its tasks share it."""
+    return secrets.randbits(63)
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,20 +180,18 @@ def lower_ascii(raw: np.ndarray) -> np.ndarray:
     return np.where((raw >= 65) & (raw <= 90), raw | 32, raw).astype(np.uint8)
 
 
-def slice_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hashes of byte slices; which: one of two independent functions."""
-    roll = _ROLL[which]
-    return roll.slices(roll.prefix(_BYTES[which][raw]), start, end)
+def slice_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes, below PRIME, of byte slices."""
+    return rabin(seed).slices(raw, start, end)
 
 
-def window_hashes(word_hash: np.ndarray, row: np.ndarray, size: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Start word and hash of every window of so many consecutive words of one row."""
+def window_hashes(word_hash: np.ndarray, row: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start word and hash, below PRIME, of every window of so many consecutive words of one row."""
     n = len(word_hash)
     if n < size:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     first = np.flatnonzero(row[: n - size + 1] == row[size - 1 :])
-    roll = _WORDS[which]
-    return first, roll.slices(roll.prefix(word_hash), first, first + size)
+    return first, rabin(seed).windows(word_hash, size)[first]
 
 
 def counts_by_row(row: np.ndarray, n: int) -> np.ndarray:

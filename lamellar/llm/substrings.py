@@ -8,9 +8,11 @@ are known there already, so that a passage found a million times crosses the
 network once per part.  Repeated windows merge into maximal intervals of words,
 which are cut from the text.
 
-A bucket compares 64-bit hashes among the few millions that it holds, besides
-the leading bits that all of them share by another function; over 10**14 bytes
-of text about one false window is to be expected.
+Hashes are polynomials modulo the prime 2**61 - 1 at bases drawn for each run.  A
+window is known by 32 bits of one hash, which name its bucket, and 56 of
+another: over 10**14 bytes of text less than one false window is to be expected.
+A part has a message for each bucket that it has hashes for, so there are never
+more messages than hashes; on larger executors, larger parts make fewer.
 """
 
 from __future__ import annotations
@@ -24,39 +26,50 @@ from lamellar.llm import common
 from lamellar.llm import kernels as K
 
 WINDOW = 35
-#: Text bytes in a part and, in windows, in a bucket.  With executors of 16 GB and more, ten times that saves rows.
-PART_BYTES = 20 << 20
+#: Text bytes in a part and, in windows, in a bucket.  With executors of 16 GB and more, ten times that saves messages.
+PART_BYTES = 12 << 20
+#: Bytes of a window's second hash that are sent.
+SENT = 7
 
 
-def _hashes(texts: pa.ChunkedArray, size: int) -> tuple[list, np.ndarray, np.ndarray]:
+def _hashes(texts: pa.ChunkedArray, size: int, seeds: tuple[int, int, int]) -> tuple[list, np.ndarray, np.ndarray]:
     """Blocks (bytes, offsets, word start, word end, row, first word of each window); all windows' hashes; their bucket keys."""
     parts, found, keys = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
     for _, _, raw, at in K.blocks(texts, 1 << 20):
         start, end, row = K.words(raw, at)
-        first, hashed = K.window_hashes(K.slice_hashes(raw, start, end), row, size)
-        parts.append((raw, at, start, end, row, first))
-        found.append(hashed)
-        keys.append((K.mix(hashed ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.uint32))
+        words = K.slice_hashes(raw, start, end, seeds[0])
+        first, hashed = K.window_hashes(words, row, size, seeds[1])
+        _, key = K.window_hashes(words, row, size, seeds[2])
+        parts.append((raw, at, *(x.astype(np.int32 if len(raw) < 1 << 31 else np.int64) for x in (start, end, row, first))))
+        found.append(hashed & np.uint64((1 << 8 * SENT) - 1))
+        keys.append((key >> np.uint64(29)).astype(np.uint32))
     return parts, np.concatenate(found), np.concatenate(keys)
 
 
-def _distinct(hashed: np.ndarray, buckets: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the windows by (bucket, hash); which of them in that order begin a new hash; the new ones' hashes and buckets."""
-    bucket = (keys.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    order = np.lexsort((hashed, bucket))
-    h, b = hashed[order], bucket[order]
+def _distinct(hashed: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the windows by (key, hash); which of them in that order begin a new one."""
+    order = np.lexsort((hashed, keys))
+    h, k = hashed[order], keys[order]
     new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (b[1:] != b[:-1])
-    return order, new, h[new], b[new]
+    new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
+    return order, new
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Bytes of sorted numbers, most significant bytes together: those compress."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins among sorted keys; a bucket is a range of keys."""
+    return np.searchsorted(keys, (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
 
 
-def _values(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+def _planes(values: np.ndarray, size: int = 8) -> bytes:
+    """The low bytes of numbers, those of one place together: of sorted numbers the high ones compress."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
+
+
+def _values(blob: bytes, size: int = 8) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8).reshape(size, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :size] = raw.T
+    return out.view("<u8").reshape(-1)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -73,27 +86,30 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, part_bytes: int = PART
     spark = docs.sparkSession
     common.ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    count = max(1, -(-common.text_bytes(docs) // part_bytes))
-    texts = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int"))
+    count, seeds = common.parts(docs, part_bytes), (K.seed(), K.seed(), K.seed())
+    texts = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int")).repartitionById(count, F.col("part"))
 
     def ordered(rows: pa.Table) -> pa.Table:
         return rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
     def send(rows: pa.Table) -> pa.Table:
         rows = ordered(rows)
-        _, hashed, keys = _hashes(rows.column("text"), window)
-        _, _, h, b = _distinct(hashed, count, keys)
-        bounds = np.searchsorted(b, np.arange(count + 1))
+        _, hashed, keys = _hashes(rows.column("text"), window, seeds)
+        order, new = _distinct(hashed, keys)
+        h, k = hashed[order[new]], keys[order[new]]
+        bounds = _bounds(k, count)
         full = np.flatnonzero(np.diff(bounds))
         part = rows.column("part")[0].as_py()
-        return pa.table({"bucket": pa.array(full, pa.int32()), "part": pa.array(np.full(len(full), part), pa.int32()), "hashes": pa.array([_planes(h[bounds[k] : bounds[k + 1]]) for k in full.tolist()], pa.binary())})
+        own = [slice(bounds[i], bounds[i + 1]) for i in full.tolist()]
+        return pa.table({"bucket": pa.array(full, pa.int32()), "part": pa.array(np.full(len(full), part), pa.int32()), "keys": pa.array([_planes(k[i], 4) for i in own], pa.binary()), "hashes": pa.array([_planes(h[i], SENT) for i in own], pa.binary())})
 
     def meet(rows: pa.Table) -> pa.Table:
-        blobs = [_values(x.as_py()) for x in rows.column("hashes")]
-        ends = np.cumsum([len(x) for x in blobs])
-        every = np.concatenate(blobs)
-        order = np.argsort(every)
-        same = every[order][1:] == every[order][:-1]
+        blobs = [_values(x.as_buffer(), SENT) for x in rows.column("hashes")]
+        keys = np.concatenate([_values(x.as_buffer(), 4).astype(np.uint32) for x in rows.column("keys")])
+        ends, every = np.cumsum([len(x) for x in blobs]), np.concatenate(blobs)
+        del blobs
+        order = np.lexsort((every, keys))
+        same = (every[order[1:]] == every[order[:-1]]) & (keys[order[1:]] == keys[order[:-1]])
         hit = np.zeros(len(every), bool)
         hit[order[1:][same]] = True
         hit[order[:-1][same]] = True
@@ -102,9 +118,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, part_bytes: int = PART
 
     def cut(rows: pa.Table, flags: pa.Table) -> pa.Table:
         rows, flags = ordered(rows), flags.sort_by("bucket")
-        blocks, hashed, keys = _hashes(rows.column("text"), window)
-        order, new, _, b = _distinct(hashed, count, keys)
-        sizes = np.diff(np.searchsorted(b, np.arange(count + 1)))
+        blocks, hashed, keys = _hashes(rows.column("text"), window, seeds)
+        order, new = _distinct(hashed, keys)
+        sizes = np.diff(_bounds(keys[order[new]], count))
         full = np.flatnonzero(sizes)
         if flags.column("bucket").to_pylist() != full.tolist():
             raise RuntimeError("the documents changed between two reads; write them to a table first")
@@ -132,8 +148,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, part_bytes: int = PART
             texts_.append(kept_text(raw, at, start[~gone], end[~gone], row[~gone]))
         return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array(np.concatenate(n_words)), "n_removed": pa.array(np.concatenate(n_removed)), "removed": pa.chunked_array(spans), "kept_text": pa.chunked_array(texts_)})
 
-    sent = texts.groupBy("part").applyInArrow(send, "bucket int, part int, hashes binary")
-    found = sent.groupBy("bucket").applyInArrow(meet, "bucket int, part int, found binary")
+    sent = texts.groupBy("part").applyInArrow(send, "bucket int, part int, keys binary, hashes binary")
+    found = sent.repartitionById(count, F.col("bucket")).groupBy("bucket").applyInArrow(meet, "bucket int, part int, found binary").repartitionById(count, F.col("part"))
     return texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept_text string")
 
 
