@@ -5,13 +5,14 @@ tokenizers can reach across: before the last white-space byte of each run that
 precedes other characters, and between a plain Latin letter and ASCII
 punctuation other than the apostrophe.  The ids of a text are those of its
 pieces in order.  Pieces repeat heavily, so a task encodes the distinct ones
-and copies their ids.  A piece is identified by a 64-bit hash and its length:
-over 10**14 bytes the chance of one mix-up is under a tenth.
+and copies their ids.  A piece is looked up by a hash, and its bytes are compared
+with those of the piece found; one that differs is encoded by itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ from lamellar.llm import kernels as K
 
 #: Distinct pieces remembered in a Python worker before it starts afresh.
 REMEMBERED = 500_000
+#: An odd number, the base of the hash that looks pieces up.
+BASE = 0x5851F42D4C957F2D
 #: Text bytes encoded at once, and those hashed at once (which fit a core's cache).
 BLOCK_BYTES, PART_BYTES = 4 << 20, 256 << 10
 #: Pieces that make one string for the tokenizer.
@@ -28,12 +31,28 @@ JOINED = 64
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
+_BYTES = K.mix(np.arange(1, 257, dtype=np.uint64))
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def names(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A quick 64-bit hash of slices, modulo 2**64; different ones may share it."""
+    n = max(PART_BYTES, 1 << int(len(raw)).bit_length())
+    upto = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * _powers(BASE, n)[: len(raw)], out=upto[1:])
+    return K.mix((upto[end] - upto[start]) * _powers(pow(BASE, -1, 1 << 64), n)[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def encoder(path: str) -> "Encoder":
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
@@ -59,6 +78,25 @@ class Encoder:
         self.known = pd.Index(np.zeros(0, np.uint64))
         self.flat = np.zeros(0, np.uint32)
         self.at = np.zeros(1, np.int64)
+        #: The known pieces' bytes, and where each starts in them.
+        self.bytes, self.bytes_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    def differing(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which pieces are not, byte by byte, those known at the given places."""
+        size, own = end - start, self.bytes_at[place]
+        out = size != self.bytes_at[place + 1] - own
+        same, low = np.flatnonzero(~out), 0
+        upto = np.concatenate([[0], np.cumsum(size[same])])
+        while low < len(same):  # some kilobytes at once
+            high = max(low + 1, int(np.searchsorted(upto, upto[low] + PART_BYTES, side="right")) - 1)
+            k = same[low:high]
+            inner = np.arange(upto[high] - upto[low])
+            shift = lambda base: inner + np.repeat(base - (upto[low:high] - upto[low]), size[k])  # noqa: B023,E731
+            odd = raw[shift(start[k])] != self.bytes[shift(own[k])]
+            if odd.any():
+                out[k[np.searchsorted(upto[low : high + 1] - upto[low], np.flatnonzero(odd), side="right") - 1]] = True
+            low = high
+        return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -133,7 +171,7 @@ class Encoder:
             if len(part):
                 s = self.pieces(part, own)
                 starts.append(s + at[row])
-                hashes.append(K.slice_hashes(part, s, np.append(s[1:], len(part))))
+                hashes.append(names(part, s, np.append(s[1:], len(part))))
             row = stop
         start, hashed = np.concatenate(starts), np.concatenate(hashes)
         end = np.append(start[1:], len(raw))
@@ -150,11 +188,19 @@ class Encoder:
             self.known = self.known.append(pd.Index(distinct[new]))
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
             self.flat = np.concatenate([self.flat, flat])
-        where = place[code]
-        length = np.diff(self.at)[where]
+            s, size = start[first[new]], (end - start)[first[new]]
+            upto = np.cumsum(size) - size
+            self.bytes = np.concatenate([self.bytes, raw[np.arange(size.sum()) + np.repeat(s - upto, size)]])
+            self.bytes_at = np.concatenate([self.bytes_at, self.bytes_at[-1] + np.cumsum(size)])
+        where, known, at_ = place[code], self.flat, self.at
+        if (odd := self.differing(raw, start, end, where)).any():  # another piece with the same hash
+            flat, counts = self.fresh(raw, start[odd], end[odd])
+            where[odd] = len(at_) - 1 + np.arange(len(counts))
+            known, at_ = np.concatenate([known, flat]), np.concatenate([at_, at_[-1] + np.cumsum(counts)])
+        length = np.diff(at_)[where]
         upto = np.concatenate([[0], np.cumsum(length)])
-        out = np.arange(upto[-1]) + np.repeat(self.at[where] - upto[:-1], length)
-        return self.flat[out], np.diff(upto[np.searchsorted(start, at)])
+        out = np.arange(upto[-1]) + np.repeat(at_[where] - upto[:-1], length)
+        return known[out], np.diff(upto[np.searchsorted(start, at)])
 
 
 def encoded(column: pa.Array | pa.ChunkedArray, path: str, end_id: int | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
