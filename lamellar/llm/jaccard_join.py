@@ -39,8 +39,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 COUNTERS, CELL_ROWS, ROUNDS = 16, 2048, 2
 #: Documents of one cell that are compared pair by pair without looking for its largest component.
 FEW = 32
-#: Documents whose cells make one bucket in the second join.
-BUCKET_DOCS = 6000
+#: Documents whose cells make one bucket in the second join; shingles whose cells are found together.
+BUCKET_DOCS, CELL_SHINGLES = 2000, 1 << 17
 
 
 class Levels:
@@ -65,21 +65,21 @@ class Levels:
         return np.searchsorted(self.bounds, sizes, side="right") - 1
 
 
-def shingle_sets(texts: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+def shingle_sets(texts: pa.ChunkedArray | pa.Array, seeds: tuple[int, int]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; of fewer words, the one of all words; none without words."""
     out: list[np.ndarray] = []
     for _, _, raw, at in K.blocks(texts, 1 << 20):
         lower = K.lower_ascii(raw)
         start, end, row = K.words(lower, at)
-        hashed = K.slice_hashes(lower, start, end)
+        hashed = K.slice_hashes(lower, start, end, seeds[0])
         n = len(at) - 1
         words = K.counts_by_row(row, n)
-        first, found = K.window_hashes(hashed, row, SHINGLE)
+        first, found = K.window_hashes(hashed, row, SHINGLE, seeds[1])
         bounds = np.searchsorted(row[first], np.arange(n + 1))
         own = [found[bounds[k] : bounds[k + 1]] for k in range(n)]
         for size in range(1, SHINGLE):
             if (words == size).any():
-                first, found = K.window_hashes(hashed, row, size)
+                first, found = K.window_hashes(hashed, row, size, seeds[1])
                 for i in np.flatnonzero(words[row[first]] == size).tolist():
                     own[int(row[first[i]])] = found[i : i + 1]
         out += [np.unique(x) for x in own]
@@ -95,8 +95,16 @@ def set_id(values: np.ndarray) -> int:
 
 def cells(sets: list[np.ndarray], salt: np.ndarray | None = None, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Name of each cell and the number of the set in it.  salt: the cell of each set that is being parted; turn: which slicing."""
-    if not sets:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    upto, low, out = np.cumsum([0, *map(len, sets)]), 0, [(np.zeros(0, np.uint64), np.zeros(0, np.int32))]
+    while low < len(sets):  # some thousand shingles at once
+        high = max(low + 1, int(np.searchsorted(upto, upto[low] + CELL_SHINGLES, side="right")) - 1)
+        name, own = _cells(sets[low:high], None if salt is None else salt[low:high], turn)
+        out.append((name, (own + low).astype(np.int32)))
+        low = high
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def _cells(sets: list[np.ndarray], salt: np.ndarray | None, turn: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(x) for x in sets], np.int64)
     flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     levels = Levels(int(sizes.max()))
@@ -174,13 +182,13 @@ def _bucket(names: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _sets_with_pivots(docs: DataFrame, part_bytes: int) -> DataFrame:
-    """doc_id, n_shingles, node (name of the set, null if empty), uid, and for the first holder of a shared cell in its part, set and pivots (uids)."""
-    count = max(1, -(-common.text_bytes(docs) // part_bytes))
-    texts = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int"))
+    """doc_id, n_shingles, node (name of the set, null if empty), uid, key and, for the first holder of a shared cell in its part, set and pivots (their uids, and whether such a cell has more documents than these two)."""
+    count, seeds = common.parts(docs, part_bytes), (K.seed(), K.seed())
+    texts = docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int")).repartitionById(count, F.col("part"))
 
     def ordered(rows: pa.Table):
         rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        sets = shingle_sets(rows.column("text"))
+        sets = shingle_sets(rows.column("text"), seeds)
         nodes = np.array([set_id(x) if len(x) else 0 for x in sets], np.int64)
         _, first = np.unique(nodes, return_index=True)
         lead = np.array(sorted(i for i in first.tolist() if len(sets[i])), np.int64)  # one of each set in the part
@@ -189,38 +197,48 @@ def _sets_with_pivots(docs: DataFrame, part_bytes: int) -> DataFrame:
     def send(rows: pa.Table) -> pa.Table:
         rows, sets, _, lead = ordered(rows)
         name, own = cells([sets[i] for i in lead.tolist()])
+        del sets
         bucket = _bucket(name, count)
         order = np.lexsort((own, name, bucket))
         name, own, bounds = name[order], own[order], np.searchsorted(bucket[order], np.arange(count + 1))
         full = np.flatnonzero(np.diff(bounds)).tolist()
         part = rows.column("part")[0].as_py()
-        return pa.table({"bucket": pa.array(full, pa.int32()), "part": pa.array([part] * len(full), pa.int32()), "cells": pa.array([_planes(name[bounds[k] : bounds[k + 1]]) for k in full], pa.binary()), "docs": pa.array([lead[own[bounds[k] : bounds[k + 1]]].astype("<u4").tobytes() for k in full], pa.binary())})
+        kind = "<u2" if len(rows) <= 1 << 16 else "<u4"
+        return pa.table({"bucket": pa.array(full, pa.int32()), "part": pa.array([part] * len(full), pa.int32()), "cells": pa.array([_planes(name[bounds[k] : bounds[k + 1]]) for k in full], pa.binary()), "docs": pa.array([lead[own[bounds[k] : bounds[k + 1]]].astype(kind).tobytes() for k in full], pa.binary())})
 
     def meet(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("part")
         parts = rows.column("part").to_pylist()
-        name = [_values(x.as_py()) for x in rows.column("cells")]
-        uid = np.concatenate([np.frombuffer(x.as_py(), "<u4").astype(np.int64) + (p << 32) for p, x in zip(parts, rows.column("docs"), strict=True)])
+        name = [_values(x.as_buffer()) for x in rows.column("cells")]
+        uid = np.concatenate([np.frombuffer(x.as_buffer(), f"<u{len(x.as_buffer()) // len(n)}").astype(np.int64) + (p << 32) for p, n, x in zip(parts, name, rows.column("docs"), strict=True)])
         name = np.concatenate(name)
         order = np.lexsort((uid, name))
         name, uid = name[order], uid[order]
         begins = np.ones(len(name), bool)
         begins[1:] = name[1:] != name[:-1]
         start = np.flatnonzero(begins)
-        pivot = np.repeat(uid[start], np.diff(np.append(start, len(name))))
-        more = np.repeat(np.diff(np.append(start, len(name))) > 1, np.diff(np.append(start, len(name))))
-        pairs = np.unique(np.stack([uid[more], pivot[more]], axis=1), axis=0)
-        back = pairs[:, 0] >> 32
+        size = np.diff(np.append(start, len(name)))
+        more = np.repeat(size > 1, size)
+        # A cell of two is settled by its pivot alone; larger ones may hold further pairs.
+        found = np.stack([uid, np.repeat(uid[start], size), np.repeat(size > 2, size)], axis=1)[more]
+        found = found[np.lexsort((-found[:, 2], found[:, 1], found[:, 0]))]
+        fresh = np.ones(len(found), bool)
+        fresh[1:] = (found[1:, :2] != found[:-1, :2]).any(axis=1)
+        found = found[fresh]
+        back = found[:, 0] >> 32
         bounds = np.flatnonzero(np.concatenate([[True], back[1:] != back[:-1]])) if len(back) else np.zeros(0, np.int64)
         ends = np.append(bounds[1:], len(back)) if len(back) else bounds
-        return pa.table({"part": pa.array(back[bounds], pa.int32()), "uids": pa.array([pairs[a:b, 0].astype("<i8").tobytes() for a, b in zip(bounds, ends, strict=True)], pa.binary()), "pivots": pa.array([pairs[a:b, 1].astype("<i8").tobytes() for a, b in zip(bounds, ends, strict=True)], pa.binary())})
+        return pa.table({"part": pa.array(back[bounds], pa.int32()), "found": pa.array([found[a:b].astype("<i8").tobytes() for a, b in zip(bounds, ends, strict=True)], pa.binary())})
 
     def join(rows: pa.Table, found: pa.Table) -> pa.Table:
         rows, sets, nodes, _ = ordered(rows)
         part = rows.column("part")[0].as_py()
-        pairs = [np.stack([np.frombuffer(u.as_py(), "<i8"), np.frombuffer(p.as_py(), "<i8")], axis=1) for u, p in zip(found.column("uids"), found.column("pivots"), strict=True)]
-        pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        at = np.searchsorted(pairs[:, 0] & 0xFFFFFFFF, np.arange(len(sets) + 1))
+        own = np.concatenate([np.zeros((0, 3), np.int64), *(np.frombuffer(x.as_buffer(), "<i8").reshape(-1, 3) for x in found.column("found"))])
+        own = own[np.lexsort((-own[:, 2], own[:, 1], own[:, 0]))]
+        fresh = np.ones(len(own), bool)
+        fresh[1:] = (own[1:, :2] != own[:-1, :2]).any(axis=1)
+        own = own[fresh]
+        at = np.searchsorted(own[:, 0] & 0xFFFFFFFF, np.arange(len(sets) + 1))
         shared = [at[i + 1] > at[i] for i in range(len(sets))]
         return pa.table(
             {
@@ -228,15 +246,16 @@ def _sets_with_pivots(docs: DataFrame, part_bytes: int) -> DataFrame:
                 "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
                 "node": pa.array([int(n) if len(x) else None for n, x in zip(nodes, sets, strict=True)], pa.int64()),
                 "uid": pa.array(np.arange(len(sets)) + (part << 32)),
+                "key": rows.column("key"),
                 "set": pa.array([x.astype("<u8").tobytes() if s else None for x, s in zip(sets, shared, strict=True)], pa.binary()),
                 "sketch": pa.array([sketch(x).tobytes() if s else None for x, s in zip(sets, shared, strict=True)], pa.binary()),
-                "pivots": pa.array([[p for p in pairs[at[i] : at[i + 1], 1].tolist() if p != i + (part << 32)] if s else None for i, s in enumerate(shared)], pa.list_(pa.int64())),
+                "pivots": pa.array([[{"pivot": p, "open": bool(o)} for _, p, o in own[at[i] : at[i + 1]].tolist() if p != i + (part << 32)] if s else None for i, s in enumerate(shared)], pa.list_(pa.struct([("pivot", pa.int64()), ("open", pa.bool_())]))),
             }
         )
 
     sent = texts.groupBy("part").applyInArrow(send, "bucket int, part int, cells binary, docs binary")
-    found = sent.groupBy("bucket").applyInArrow(meet, "part int, uids binary, pivots binary")
-    schema = "doc_id long, n_shingles long, node long, uid long, set binary, sketch binary, pivots array<bigint>"
+    found = sent.repartitionById(count, F.col("bucket")).groupBy("bucket").applyInArrow(meet, "part int, found binary").repartitionById(count, F.col("part"))
+    schema = "doc_id long, n_shingles long, node long, uid long, key long, set binary, sketch binary, pivots array<struct<pivot:bigint,open:boolean>>"
     return texts.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(join, schema)
 
 
@@ -258,20 +277,20 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _stars(shared: DataFrame) -> DataFrame:
-    """Pairs of a pivot a and a document b of one of its cells, with a key of each, and near: whether sketches leave it possible that they are within twice the threshold distance."""
-    cast = shared.select(F.explode("pivots").alias("pivot"), F.col("uid").alias("kb"), F.col("node").alias("b"), F.col("sketch").alias("_kb"), F.col("n_shingles").alias("_nb"))
+    """Pairs of a pivot a and a document b of one of its cells, with a key of each, open: whether one has further documents, and near: whether sketches leave it possible that they are within twice the threshold distance."""
+    cast = shared.select(F.explode("pivots").alias("p"), F.col("uid").alias("kb"), F.col("node").alias("b"), F.col("sketch").alias("_kb"), F.col("n_shingles").alias("_nb")).select("p.pivot", "p.open", "kb", "b", "_kb", "_nb")
     heads = shared.select(F.col("uid").alias("pivot"), F.col("node").alias("a"), F.col("sketch").alias("_ka"), F.col("n_shingles").alias("_na"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sizes = batch.num_rows, batch.column(6).to_numpy() + batch.column(7).to_numpy()
-            rows = [np.frombuffer(x.as_buffer(), np.uint8) if len(x.as_buffer()) else np.zeros(0, np.uint8) for c in (4, 5) for x in batch.column(c)]
+            n, sizes = batch.num_rows, batch.column(7).to_numpy() + batch.column(8).to_numpy()
+            rows = [np.frombuffer(x.as_buffer(), np.uint8) if len(x.as_buffer()) else np.zeros(0, np.uint8) for c in (5, 6) for x in batch.column(c)]
             apart = Sketches(rows).apart(np.arange(n), np.arange(n) + n)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(apart * NUMERATOR <= sizes * (DENOMINATOR - NUMERATOR))], names=["a", "b", "ka", "kb", "near"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(apart * NUMERATOR <= sizes * (DENOMINATOR - NUMERATOR))], names=["a", "b", "ka", "kb", "open", "near"])
 
-    pairs = cast.join(heads, "pivot").where("a <> b").select("a", "b", F.col("pivot").alias("ka"), "kb", "_ka", "_kb", "_na", "_nb")
-    found = pairs.mapInArrow(bound, "a long, b long, ka long, kb long, near boolean")
-    return found.groupBy("a", "b").agg(F.min("ka").alias("ka"), F.min("kb").alias("kb"), F.max("near").alias("near"))
+    pairs = cast.join(heads, "pivot").where("a <> b").select("a", "b", F.col("pivot").alias("ka"), "kb", "open", "_ka", "_kb", "_na", "_nb")
+    found = pairs.mapInArrow(bound, "a long, b long, ka long, kb long, open boolean, near boolean")
+    return found.groupBy("a", "b").agg(F.min("ka").alias("ka"), F.min("kb").alias("kb"), F.max("open").alias("open"), F.max("near").alias("near"))
 
 
 _LINKED = f"common * {DENOMINATOR} >= joint * {NUMERATOR}"
@@ -373,63 +392,76 @@ def _comparer(cell_rows: int, last: bool):
     return compare
 
 
-def _second(sets: DataFrame, roots: DataFrame, cell_rows: int) -> DataFrame:
-    """Candidate pairs (a, b) of the sets (node, set) that share a cell and are of different components."""
+def _second(sets: DataFrame, cell_rows: int) -> DataFrame:
+    """Candidate pairs (a, b) of the sets (node, set, root) that share a cell and are of different components."""
     size = max(1, -(-sets.count() // BUCKET_DOCS))
-    named = sets.join(roots, "node", "left").select("node", "set", F.coalesce("root", "node").alias("root"))
-    state, found = named.withColumn("cell", F.lit(None).cast("long")), None
+    state, found = sets.withColumn("cell", F.lit(None).cast("long")), None
     schema = "bucket int, cells binary, docs binary, nodes binary, roots binary, sizes binary, lengths binary, sketches binary"
 
     for turn in range(ROUNDS):
         last = turn == ROUNDS - 1
-        out = common.settled(state.select("node", "set", "root", "cell").mapInArrow(_spreader(size, turn), schema).groupBy("bucket").applyInArrow(_comparer(cell_rows, last), "a long, b long, again boolean"))
+        dealt = state.select("node", "set", "root", "cell").mapInArrow(_spreader(size, turn), schema).repartitionById(size, F.col("bucket"))
+        out = common.settled(dealt.groupBy("bucket").applyInArrow(_comparer(cell_rows, last), "a long, b long, again boolean"))
         pairs, again = out.where("not again").select("a", "b"), out.where("again").select(F.col("a").alias("node"), F.col("b").alias("cell"))
         found = pairs if found is None else found.unionByName(pairs)
         if last or not again.take(1):
             break
-        state = again.join(named, "node").select("node", "set", "root", "cell")
+        state = again.join(sets, "node").select("node", "set", "root", "cell")
     return found.distinct()
 
 
-def jaccard_components(docs: DataFrame, part_bytes: int = PART_BYTES, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id (least doc_id that links reach, itself included).
+def linked(docs: DataFrame, part_bytes: int = PART_BYTES, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """A row per document: doc_id, n_shingles, node (its set's name, null if it has no shingles), root (the name of its component, or null) and key (xxhash64 of its text).
 
-    Two documents link if 100 times the common shingles is at least 80 times all of
-    theirs.  Words are runs of characters other than space and \\x09-\\x0D, A-Z in lower
-    case; shingles are the distinct runs of five words, or all words if there are
-    fewer.  A document without words, or a null text, has no shingles and no links.
-    Rows with one doc_id are documents of their own, and a null doc_id is the last
-    choice for component_id.  Columns but doc_id and text are ignored; an empty table
-    gives no rows.  Shingles and sets are named by 64-bit hashes.
+    What jaccard_components() says of links and odd rows holds here too.
     """
     common.ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("key"))
     spark = docs.sparkSession
     every = common.settled(_sets_with_pivots(docs, part_bytes))
     common.release(spark)
+    narrow = common.settled(every.select("doc_id", "n_shingles", "node", "key"))
     shared = every.where("set is not null")
-    own = shared.select("uid", "node")
     star = common.settled(_stars(shared))
     exact = _verified(star.where("near").drop("near"), shared.select(F.col("uid").alias("key"), "set"))
-    first = common.settled(exact.unionByName(star.where("not near").select("a", "b", F.lit(0).cast("long").alias("common"), F.lit(1).cast("long").alias("joint"))))
+    far = star.where("not near").select("a", "b", F.lit(0).cast("long").alias("common"), F.lit(1).cast("long").alias("joint"))
+    first = common.settled(exact.unionByName(far).join(star.select("a", "b", "open"), ["a", "b"]))
+    del exact, far, star
     common.release(spark)
     roots = components(first.where(_LINKED).select("a", "b"))
 
     # What the pivots leave open: documents off a pivot, and all around a pivot that has others on its boundary.
-    off = first.where(f"not ({_LINKED})")
+    off = first.where(f"open and not ({_LINKED})")
     edge = off.where(_NEAR).select(F.col("a").alias("p")).distinct()
     around = first.where(_LINKED).join(edge, F.col("a") == F.col("p"), "left_semi").select(F.col("b").alias("node"))
     open_ = off.select(F.col("b").alias("node")).unionByName(around).distinct()
-    chosen = own.join(open_, "node", "left_semi").groupBy("node").agg(F.min("uid").alias("uid"))
-    sets = common.settled(shared.select("uid", "set").join(chosen, "uid").select("node", "set"))
+    chosen = shared.select("uid", "node").join(open_, "node", "left_semi").groupBy("node").agg(F.min("uid").alias("uid"))
+    chosen = chosen.join(roots, "node", "left").select("uid", "node", F.coalesce("root", "node").alias("root"))
+    sets = common.settled(shared.select("uid", "set").join(chosen, "uid").select("node", "set", "root"))
+    del every, shared, first, off, edge, around, open_, chosen
     common.release(spark)
-    pairs = _second(sets, roots, cell_rows).select("a", "b", F.col("a").alias("ka"), F.col("b").alias("kb"))
+    pairs = _second(sets, cell_rows).select("a", "b", F.col("a").alias("ka"), F.col("b").alias("kb"))
     second = common.settled(_verified(pairs, sets.select(F.col("node").alias("key"), "set")).where(_LINKED).select("a", "b"))
+    del sets, pairs
     if second.take(1):
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
-
-    rooted = every.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = common.settled(rooted)
+    out = common.settled(narrow.join(roots, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root"), "key"))
     common.release(spark)
+    return out
+
+
+def jaccard_components(docs: DataFrame, part_bytes: int = PART_BYTES, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """A row per document: doc_id, n_shingles, component_id (least doc_id that links reach, itself included).
+
+    Two documents link if 100 times the common shingles is at least 80 times all of
+    theirs.  Words are runs of characters other than space and \\x09-\\x0D, A-Z in lower
+    case; shingles are the distinct runs of five words, or all words if there are
+    fewer.  A document without words, or a null text, has no shingles and no links.
+    Rows with one doc_id are documents of their own, and a null doc_id is the last
+    choice for component_id.  Columns but doc_id and text are ignored; an empty table
+    gives no rows.  Shingles are named by hashes modulo 2**61 - 1 at a random base,
+    and sets by 64 bits mixed from those.
+    """
+    rooted = linked(docs, part_bytes, cell_rows)
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("root", "least")
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.coalesce("least", "doc_id")).alias("component_id"))
