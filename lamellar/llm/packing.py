@@ -1,7 +1,8 @@
 """Operator 2: documents packed into fixed-length training sequences, best fit decreasing.
 
-Documents longer than a window are first cut into full windows.  The remaining
-tails are dealt into groups of a few thousand; each group is packed by itself:
+Documents longer than a window are first cut into full windows, which are
+sequences of their own and move no more.  The remaining tails are dealt into
+groups of a few thousand; each group is packed by itself:
 tails in falling length, each into the open window with the least sufficient
 room, which a segment tree over remaining capacities finds.  Groups leave one
 partly filled window each, so padding stays far below one percent at any size,
@@ -14,7 +15,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,9 @@ from lamellar.llm import common, tokens
 
 WINDOW, END_ID, GROUP_ROWS = 4096, 2, 4000
 
+#: Sequences of one full window are numbered from here on, those of tails below.
+FULL = 1 << 62
+
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -107,14 +110,16 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     shared folder so that texts are encoded once.
     """
     cut = common.settled(pieces(docs, tokenizer, window, end_id, with_ids))
-    groups = max(1, -(-cut.count() // group_rows))
-    dealt = cut.withColumn("_group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
-    kept = [x.split()[0] for x in PIECE.split(", ")] + (["ids"] if with_ids else [])
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")
-        length = rows["length"].to_numpy(np.int64)
-        where, offset = best_fit(length, window)
-        return rows[kept].assign(sequence_id=(int(rows["_group"].iloc[0]) << 32) + where, offset=offset)
-
-    return dealt.groupBy("_group").applyInPandas(fill, PIECE + (", ids binary" if with_ids else "") + ", sequence_id long, offset long")
+    schema = PIECE + (", ids binary" if with_ids else "") + ", sequence_id long, offset long"
+    whole, tails = cut.where(F.col("length") == window), cut.where(F.col("length") < window)
+    alone = whole.select("*", (F.lit(FULL) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    groups = max(1, -(-tails.count() // group_rows))
+    dealt = tails.withColumn("_group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)).cast("int"))
+
+    def fill(rows: pa.Table) -> pa.Table:
+        group = rows.column("_group")[0].as_py()
+        rows = rows.drop_columns(["_group"]).sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        where, offset = best_fit(rows.column("length").to_numpy(), window)
+        return rows.append_column("sequence_id", pa.array((group << 32) + where)).append_column("offset", pa.array(offset))
+
+    return alone.unionByName(dealt.repartitionById(groups, F.col("_group")).groupBy("_group").applyInArrow(fill, schema))
