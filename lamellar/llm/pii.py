@@ -32,8 +32,15 @@ STRICT = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: The same matches in linear time: a run of digits is tried at its start alone, and possessive runs are never tried shorter.  Of an address, what follows the @ and, backwards, what precedes it.
+QUICK = {
+    "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+DOMAIN, LOCAL = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"), re.compile(r"[A-Za-z0-9._%+-]*+")
 LOOSE = {
-    "email": re.compile(r"(?<![\w.])[A-Za-z0-9._-]{2,}\s?(?:[\[(]at[\])]|\sat\s)\s?[A-Za-z0-9-]+(?:\s?(?:[\[(]dot[\])]|\sdot\s)\s?[A-Za-z]{2,})+", re.I),
+    "email": re.compile(r"(?<![\w.-])[A-Za-z0-9._-]{2,}+\s?(?:[\[(]at[\])]|\sat\s)\s?[A-Za-z0-9-]++(?:\s?(?:[\[(]dot[\])]|\sdot\s)\s?[A-Za-z]{2,})+", re.I),
     "ip": re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"),
     "card": re.compile(r"(?<![0-9.])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9.])"),
     "phone": re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![\w.-]?[0-9])"),
@@ -74,13 +81,33 @@ def holds(kind: str, s: str) -> bool:
     return kind == "email" or 9 <= len(_digits(s)) <= 15
 
 
+def matches(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """Spans of the strict pattern, leftmost and without overlap, in time linear in the text."""
+    if kind != "email":
+        yield from (m.span() for m in QUICK[kind].finditer(text))
+        return
+    done, at = 0, text.find("@")
+    while at >= 0:  # the local part is what fits before the @, back to the last match or @
+        local, rest = LOCAL.match(text[done:at][::-1]).end(), DOMAIN.match(text, at + 1)
+        if local and rest:
+            yield at - local, rest.end()
+        done = rest.end() if local and rest else at + 1
+        at = text.find("@", done)
+
+
 def base_spans(kind: str, text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in STRICT[kind].finditer(text) if holds(kind, m.group())]
+    return [(s, e) for s, e in matches(kind, text) if holds(kind, text[s:e])]
 
 
 def loose_spans(kind: str, text: str, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Matches of the loose pattern that touch no base span of their kind."""
-    return [m.span() for m in LOOSE[kind].finditer(text) if all(m.end() <= s or m.start() >= e for s, e in base)]
+    """Matches of the loose pattern that touch no base span of their kind; base spans rise."""
+    out, k = [], 0
+    for m in LOOSE[kind].finditer(text):
+        while k < len(base) and base[k][1] <= m.start():
+            k += 1
+        if k == len(base) or base[k][0] >= m.end():
+            out.append(m.span())
+    return out
 
 
 def _words(s: str) -> list[str]:
@@ -128,8 +155,8 @@ class Model:
     reliabilities: np.ndarray
     weights: np.ndarray
 
-    def probability(self, x: list[float]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(np.dot(self.weights[:-1], x) + self.weights[-1], -30, 30))))
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[float, np.ndarray, np.ndarray]:
@@ -210,7 +237,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Reliabilities from the votes on all candidates; the classifier from the sample_rows with the least hashes.  None without candidates."""
+    """Reliabilities from the votes on all candidates; the classifier from the sample_rows different ones with the least hashes.  None without candidates."""
     found = common.settled(candidates(docs))
     patterns = found.groupBy("votes").count().collect()  # at most 3**VOTERS rows
     if not patterns:
@@ -218,7 +245,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     table, counts = np.array([r["votes"] for r in patterns]), np.array([r["count"] for r in patterns], float)
     prior, reliabilities, post = expectation_maximisation(table, counts)
     known = {tuple(v): p for v, p in zip(table.tolist(), post.tolist(), strict=True)}
-    sample = found.orderBy("order", "votes", "features").limit(sample_rows).select("votes", "features").collect()
+    different = found.select("order", "votes", "features").distinct()  # a value that a third of all texts hold is one of them
+    sample = different.orderBy("order", "votes", "features").limit(sample_rows).select("votes", "features").collect()
     weights = logistic(np.array([r["features"] for r in sample]), np.array([known[tuple(r["votes"])] for r in sample]))
     return Model(prior, reliabilities, weights)
 
@@ -245,8 +273,10 @@ def detect(docs: DataFrame, model: Model | None, redact: bool = False) -> DataFr
             spans: list[list] = [[] for _ in range(batch.num_rows)]
             clean: dict[int, str] = {}
             for row, text in _texts(batch.column(place)):
-                for kind, s, e, base in _found(text):
-                    p = 0.0 if model is None else model.probability(features(kind, text, s, e, votes(kind, text, s, e, base)))
+                found = list(_found(text))
+                seen = [features(kind, text, s, e, votes(kind, text, s, e, base)) for kind, s, e, base in found]
+                own = model.probabilities(np.array(seen)).tolist() if model is not None and seen else [0.0] * len(seen)
+                for (kind, s, e, base), p in zip(found, own, strict=True):
                     if base or p >= 0.5:
                         spans[row].append({"kind": KINDS.index(kind), "start": s, "end": e, "base": base, "probability": p})
                 spans[row].sort(key=lambda x: (x["kind"], x["start"]))
