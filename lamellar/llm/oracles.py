@@ -44,9 +44,9 @@ own AS (SELECT doc_id, line, lw, count(*) - 1 AS again, CAST(len(lw) AS BIGINT)
 judged AS (SELECT doc_id, again, n,
  length(regexp_replace(line, '[^{Q.SYMBOLS}]+', '', 'g')) * 100 > n * {Q.SYMBOL_PERCENT}
  OR (n < {Q.NAVIGATION_WORDS} AND NOT regexp_matches(line, {_text(Q.SENTENCE_END)}))
- OR (n >= 3 AND regexp_matches(line, {_text(Q.SHOUTING)}))
+ OR (n >= 3 AND regexp_matches(line, {_text(Q.SHOUTING)}) AND NOT regexp_matches(line, {_text(Q.CALM)}))
  OR (n <= {Q.BOILERPLATE_WORDS} AND regexp_matches(line, {_text(Q.BOILERPLATE)}))
- OR (n >= {Q.MANY_WORDS} AND len(list_distinct(lw)) * 100 < least(n, {Q.COUNTED_WORDS}) * {Q.DIFFERENT_PERCENT}) AS fails FROM own),
+ OR (n >= {Q.MANY_WORDS} AND len(list_distinct(lw)) ** 2 < n * {Q.DIFFERENT_SQUARE}) AS fails FROM own),
 s AS (SELECT doc_id, sum(again) AS again, coalesce(sum(n) FILTER (NOT fails), 0) AS kept FROM judged GROUP BY 1),
 m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
  CAST(length(regexp_replace(text, '[^{Q.SYMBOLS}]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(again, 0) AS BIGINT) AS n_dup_lines,
