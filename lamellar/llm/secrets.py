@@ -11,6 +11,8 @@ the corpus whose form or assignment leaves no doubt, in a sample of bounded size
 
 from __future__ import annotations
 
+import string
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,6 +24,7 @@ from lamellar.llm import native as N
 
 #: What a candidate consists of, forms with a published prefix, and words that name secrets.
 BODY = "[A-Za-z0-9+/_.~-]"
+ALPHABET = string.ascii_letters + string.digits + "+/_.~-="
 PREFIXED = "^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,})$"
 NAMES = "(?i)(pass|pwd|secret|token|api|key|auth|credential|private|bearer)"
 #: What may open and close a quotation; what stands between a candidate and its name, read backwards.
@@ -78,7 +81,7 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
         "length": n,
         "transitions": (F.length(classes) - 1) / n,
         "vowel_turns": F.regexp_count(F.lower(s), F.lit("[aeiou][^aeiou]")) / n,
-        "distinct_share": F.size(F.array_distinct(F.split(s, ""))) / F.least(n, F.lit(32.0)),
+        "distinct_share": sum((s.contains(c).cast("int") for c in ALPHABET), F.lit(0)) / F.least(n, F.lit(32.0)),
         "digit_share": less(F.regexp_replace(s, "[0-9]", "")) / n,
         "upper_share": less(F.regexp_replace(s, "[A-Z]", "")) / n,
         "hex": flag(s.rlike("^[0-9a-f]+$|^[0-9A-F]+$") & s.rlike("[A-Fa-f]") & s.rlike("[0-9]")),
