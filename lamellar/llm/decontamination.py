@@ -61,9 +61,11 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     grams = [_hashes(g) for g in few] or [F.array().cast("array<bigint>")]
     probes = d.select("doc_id", F.explode(grams[0] if len(grams) == 1 else F.concat(*grams)).alias("h"))
-    pairs = probes.join(F.broadcast(sketch) if small else sketch, "h").select("doc_id", "item_id").distinct()
+    pairs = common.settled(probes.join(F.broadcast(sketch) if small else sketch, "h").select("doc_id", "item_id").distinct())
 
-    texts = pairs.withColumnRenamed("doc_id", "_doc").join(d, F.col("_doc").eqNullSafe(F.col("doc_id"))).drop("_doc")
+    # Texts are read again where they lie, for the candidates alone; they move only if these are very many.
+    asked = pairs.withColumnRenamed("doc_id", "_doc")
+    texts = d.join(F.broadcast(asked) if pairs.count() <= broadcast_rows else asked, F.col("_doc").eqNullSafe(F.col("doc_id"))).drop("_doc")
     both = texts.join(F.broadcast(tests) if small else tests, texts["item_id"].eqNullSafe(tests["item_id"])).drop(tests["item_id"])
     found = N.bind(_words("text"), lambda w: F.size(F.array_intersect(_grams(w, F.col("gram")), F.col("shingles"))))
     held = both.select("doc_id", "item_id", F.size("shingles").cast("long").alias("n_shingles"), found.cast("long").alias("n_found"))
