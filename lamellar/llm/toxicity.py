@@ -29,8 +29,12 @@ from lamellar.llm.pii import logistic
 TRAIN_ROWS = 200_000
 #: Bytes of a token's prefixes, which stand in, the longest first, for tokens that tell nothing as a whole.
 PREFIXES = (8, 7, 6, 5, 4)
+#: Draws the hash function that names tokens.
+SEED = 1
 #: The prior's weight as a share of the tokens, the least z and log-odds of a lexicon unit, and the E-value of a significant segment.
 PRIOR_SHARE, LEAST_Z, LEAST_ODDS, LEAST_E = 0.05, 4.0, 0.7, 0.01
+#: The best segment's evidence where there is no segment: in a clean text as in an empty one.
+NO_SEGMENT = -10.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -46,7 +50,7 @@ def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     lower = K.lower_ascii(raw)
     plain = np.where((lower >= 97) & (lower <= 122) | (lower >= 48) & (lower <= 57) | (lower >= 0x80), lower, 32).astype(np.uint8)
     start, end, row = K.words(plain, at)
-    code, distinct = pd.factorize(K.slice_hashes(plain, start, end))
+    code, distinct = pd.factorize(K.slice_hashes(plain, start, end, SEED))
     first = np.empty(len(distinct), np.int64)
     first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
     own, stop = start[first], end[first]
@@ -55,7 +59,7 @@ def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     for i, size in enumerate(PREFIXES, 1):
         longer = stop - own > size
         with np.errstate(over="ignore"):
-            units[longer, i] = K.mix(K.slice_hashes(plain, own[longer], own[longer] + size) + np.uint64(i))
+            units[longer, i] = K.mix(K.slice_hashes(plain, own[longer], own[longer] + size, SEED) + np.uint64(i))
     return units, code, row
 
 
@@ -188,11 +192,11 @@ def _scan(column: pa.Array, model: Model) -> Iterator[tuple[int, int, list[tuple
 
 def evidence(n: int, found: list[tuple[int, int, float]], model: Model) -> tuple[float, float, list[tuple[int, int, float, float]]]:
     """Best segment's and all significant segments' evidence, -log E; and the significant ones (start, end, score, E)."""
-    if not n:
-        return 0.0, 0.0, []
+    if not found:
+        return NO_SEGMENT, 0.0, []
     limit = model.log_k + np.log(n)
     every = [(a, b, s, model.rate * s - limit) for a, b, s in found]
-    best = max((x[3] for x in every), default=-limit)
+    best = max(x[3] for x in every)
     good = [(a, b, s, float(np.exp(-v))) for a, b, s, v in every if v >= -np.log(LEAST_E)]
     return float(best), float(sum(-np.log(max(x[3], 1e-300)) for x in good)), good
 
@@ -214,7 +218,7 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
 
 def _inputs() -> list[Column]:
     """What the logistic fit sees: the best segment's evidence, all evidence, and that for each hundred tokens."""
-    return [F.least(F.greatest(F.col("best"), F.lit(-20.0)), F.lit(40.0)) / 10, F.log1p("evidence"), F.log1p(F.col("evidence") * 100 / F.greatest("n_tokens", F.lit(20)))]
+    return [F.least(F.greatest(F.col("best"), F.lit(NO_SEGMENT)), F.lit(40.0)) / 10, F.log1p("evidence"), F.log1p(F.col("evidence") * 100 / F.greatest("n_tokens", F.lit(20)))]
 
 
 def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -240,7 +244,7 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
         return _verdicts(measured(docs, first), F.lit(float(rows["rate"] or 0.0)))
     train = common.settled(measured(labelled.select("doc_id", "text"), first).join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("n_tokens", "segments", "best", "toxic"))
     # The best segments of clean texts that have one follow a Gumbel law with mean log(K n) + Euler's constant, over lambda.
-    clean = train.where((F.col("toxic") == 0) & (F.col("best") > -F.log("n_tokens"))).agg(F.avg("best").alias("m")).first()
+    clean = train.where((F.col("toxic") == 0) & (F.col("best") > NO_SEGMENT)).agg(F.avg("best").alias("m")).first()
     log_k = float(np.clip((clean["m"] if clean["m"] is not None else 0.0) - np.euler_gamma, -8.0, 8.0))
     model = replace(first, log_k=log_k)
     again = measured(labelled.select("doc_id", "text"), model).join(F.broadcast(known), F.col("doc_id") == F.col("_id"))
