@@ -7,7 +7,7 @@ from contextlib import contextmanager
 
 from lamellar.errors import InjectedFault, InvalidArgument
 
-POINTS = frozenset("write commit_manifest read_manifest open_reader take chunk list_files".split())
+POINTS = frozenset("write commit_manifest read_manifest open_reader take chunk list_files publish".split())
 _ACTIVE: dict[str, int] = {}
 
 

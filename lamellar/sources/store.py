@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from urllib.parse import unquote, urlparse
@@ -11,15 +12,17 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from lamellar import faults
-from lamellar.errors import FileMissing
+from lamellar.errors import FileMissing, InvalidArgument
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset."""
-    sc = spark.sparkContext
+    """A new folder that driver and executors share: below spark.checkpoint.dir; in a single local process a local one will do."""
+    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamellar-"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise InvalidArgument("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lamellar-"))
+    base = named or sc.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -38,6 +41,10 @@ def plain_path(path: Column) -> Column:
     return F.url_decode(F.regexp_replace(F.regexp_replace(local, "^([a-z0-9]+://)([^@/]+)@[^/]+", "$1$2"), "\\+", "%2B"))
 
 
+#: Schemes of stores where a file appears when it is closed.
+OBJECT_STORES = ("s3", "s3a", "gs", "abfs", "abfss", "wasb", "wasbs", "oss", "cosn")
+
+
 class Store:
     """The file system of a path: text files, listings and exclusive creation."""
 
@@ -81,13 +88,28 @@ class Store:
             stream.close()
 
     def create(self, path: str, text: str) -> bool:
-        """Write a file that must be new; False if it is there already.
+        """Write a file that must be new, whole or not at all; False if it is there already.
 
-        The check and the creation are one step on HDFS and similar stores; a plain
-        object store needs its own conditional put in the Hadoop connector.
+        The text goes to a hidden file first, which then gets its name in one step
+        that fails if the name is taken: a hard link on a local disk, a rename
+        without overwrite (atomic on HDFS) elsewhere.  An object store shows a file
+        only when it is whole, so there it is created under its name; that two
+        writers can't both do so needs the connector's conditional put.
         """
+        target = self._path(self.at(path))
+        if self._fs.getScheme() in OBJECT_STORES:
+            return self._written(target, text)
+        hidden = self._path(f"{target.getParent().toString()}/.{target.getName()}.{uuid.uuid4().hex}")
+        self._written(hidden, text)
+        faults.hit("publish")
+        try:
+            return self._named(hidden, target)
+        finally:
+            self._fs.delete(hidden, False)
+
+    def _written(self, path, text: str) -> bool:
         try:
-            stream = self._fs.create(self._path(self.at(path)), False)
+            stream = self._fs.create(path, False)
         except Py4JJavaError as e:
             if "AlreadyExists" in str(e.java_exception):
                 return False
@@ -98,5 +120,23 @@ class Store:
             stream.close()
         return True
 
+    def _named(self, hidden, target) -> bool:
+        gateway = self.spark.sparkContext._gateway
+        try:
+            if self._fs.getScheme() == "file":
+                local = lambda p: self._jvm.java.nio.file.Paths.get(self._fs.makeQualified(p).toUri())
+                self._jvm.java.nio.file.Files.createLink(local(target), local(hidden))
+            else:
+                rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+                options = gateway.new_array(rename, 1)
+                options[0] = rename.NONE
+                context.rename(self._fs.makeQualified(hidden), self._fs.makeQualified(target), options)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        return True
+
     def delete(self, path: str) -> bool:
         return self._fs.delete(self._path(self.at(path)), True)
