@@ -18,8 +18,8 @@ DELTA_KINDS = ("primary_key", "positional", "equality")
 class Fragment:
     """Rows [start, end) of a folder or file; row is their stored ordinal, or their position in an external file.
 
-    buckets: into how many parts, by ordinal, the folder is dealt; 0 for external
-    files.  total: rows written to the folder.  deletes: a table of (file_path, pos) or a vector of positions, if any.
+    buckets: into how many parts the folder is dealt by ranges of span ordinals; 0
+    for external files.  total: rows written to the folder.  deletes: a table of (file_path, pos) or a vector of positions, if any.
     """
 
     path: str
@@ -27,6 +27,7 @@ class Fragment:
     end: int
     buckets: int = 0
     total: int = 0
+    span: int = 0
     deletes: str | None = None
     live: int | None = None
 

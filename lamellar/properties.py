@@ -10,7 +10,7 @@ from lamellar.errors import InvalidProperty, NotSupported
 
 #: Registered formats; all but the first are read through external imports or not at all.
 FORMATS = ("parquet", "vortex", "lance-table", "iceberg-table", "paimon-table")
-CODECS = ("uncompressed", "snappy", "gzip", "lz4", "zstd", "brotli")
+CODECS = ("uncompressed", "snappy", "gzip", "lz4", "zstd")
 POLICIES = ("single", "schema_based", "size_based")
 
 
@@ -45,6 +45,7 @@ OPTIONS: dict[str, Option] = {
     "writer.split.size_based.max_avg_column_size": Option(0, *_whole()),
     "writer.split.size_based.max_columns_in_group": Option(0, *_whole()),
     "writer.file_rolling.rows": Option(65_536, *_whole(1)),
+    "writer.file_rolling.size": Option(0, *_whole()),
     "writer.row_group_size": Option(32 << 20, *_whole(1 << 10)),
     "writer.compression": Option("zstd", str, lambda v: v in CODECS),
     "writer.compression_level": Option(3, *_whole(-7, 22)),
@@ -67,6 +68,8 @@ class Properties(Mapping):
         for name, value in (values or {}).items():
             if name not in OPTIONS:
                 raise InvalidProperty(f"unknown property {name}")
+            if value is None and OPTIONS[name].default is None:
+                continue
             try:
                 parsed = OPTIONS[name].parse(value)
             except (TypeError, ValueError) as e:

@@ -1,8 +1,9 @@
 """DataFrames written as column groups.
 
 Rows get ordinals once; every group is written from that same numbered table and
-stores the ordinal, dealt into buckets by it.  Groups of one write therefore join
-without a shuffle, and row ranges reach Parquet's statistics.
+stores the ordinal and the range of ordinals that a row is in.  Ranges are dealt
+into buckets, a file each, in order.  Groups of one write therefore join without
+a shuffle or a sort, and a request for rows opens the files of their ranges alone.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lamellar import faults
@@ -20,21 +21,23 @@ from lamellar.operators import grouping
 from lamellar.properties import Properties
 from lamellar.sources.store import shared_path
 
-#: The stored ordinal.
-ROW = "__row"
-MOST_BUCKETS = 8192
+#: The stored ordinal, and the number of the range that it is in.
+ROW, RANGE = "__row", "__range"
+#: Spark's own limit of buckets, and ranges to a bucket on average, so that buckets are alike.
+MOST_BUCKETS, RANGES = 100_000, 4
 
 
 def numbered(df: DataFrame, order_by: Sequence[str] = (), settle: bool = True) -> tuple[DataFrame, int]:
     """df with ROW = 0, 1, ... and the number of rows.
 
     The numbers follow order_by, or else the order of partitions and of rows in
-    them.  settle keeps the rows in the shared folder first, so that all groups see
-    one order; it may be left out for plain file scans, which repeat it.
+    them.  settle keeps the rows in the shared folder first, so that counting and
+    all groups see one order; it may be left out for plain file scans alone, which
+    repeat theirs.
     """
     spark = df.sparkSession
-    if ROW in df.columns:
-        raise InvalidArgument(f"{ROW} is reserved")
+    if {ROW, RANGE} & set(df.columns):
+        raise InvalidArgument(f"{ROW} and {RANGE} are reserved")
     if order_by:
         df = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order_by).sortWithinPartitions(*order_by)
     if settle or order_by:
@@ -47,7 +50,8 @@ def numbered(df: DataFrame, order_by: Sequence[str] = (), settle: bool = True) -
         done += counts[part]
     tagged = df.withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     starts = spark.createDataFrame(base, "__part int, __base long")
-    return tagged.join(F.broadcast(starts), "__part").withColumn(ROW, F.col("__base") + F.col("__place")).drop("__part", "__place", "__base"), done
+    number = F.coalesce(F.col("__base") + F.col("__place"), F.raise_error(F.lit("the rows moved while they were numbered; write them with settle")).cast("long"))
+    return tagged.join(F.broadcast(starts), "__part", "left").withColumn(ROW, number).drop("__part", "__place", "__base"), done
 
 
 def write(df: DataFrame, root: str, properties: Properties | None = None, order_by: Sequence[str] = (), groups: Sequence[Sequence[str]] | None = None, settle: bool = True) -> list[ColumnGroup]:
@@ -61,19 +65,30 @@ def write(df: DataFrame, root: str, properties: Properties | None = None, order_
         groups = grouping.groups_of(df, properties) if properties["writer.policy"] != "size_based" or df.take(1) else grouping.single(df.columns)
     if sorted(c for g in groups for c in g) != sorted(df.columns):
         raise InvalidArgument("groups must have each column once")
-    rows, n = numbered(df, order_by, settle and len(groups) > 1)
+    rows, n = numbered(df, order_by, settle)
     if not n:
         return []
-    buckets = max(1, min(MOST_BUCKETS, -(-n // properties["writer.file_rolling.rows"])))
-    return [ColumnGroup(tuple(g), (Fragment(_write_group(rows.select(*[F.col(f"`{c}`") for c in g], ROW), root, f"{i}_{uuid.uuid4().hex}", buckets, properties), 0, n, buckets, n),), fmt) for i, g in enumerate(groups)]
+    buckets = max(1, min(MOST_BUCKETS, -(-n // _file_rows(df, properties))))
+    span = -(-n // (RANGES * buckets)) if buckets > 1 else n
+    rows = rows.withColumn(RANGE, F.floor(F.col(ROW) / span).cast("int"))
+    return [ColumnGroup(tuple(g), (Fragment(_write_group(rows.select(*[F.col(f"`{c}`") for c in g], RANGE, ROW), root, f"{i}_{uuid.uuid4().hex}", buckets, n, properties), 0, n, buckets, n, span),), fmt) for i, g in enumerate(groups)]
 
 
-def _write_group(rows: DataFrame, root: str, name: str, buckets: int, properties: Properties) -> str:
+def _file_rows(df: DataFrame, properties: Properties) -> int:
+    """Rows of a file: writer.file_rolling.rows, or fewer if those exceed writer.file_rolling.size bytes, where that is set."""
+    rows, size = properties["writer.file_rolling.rows"], properties["writer.file_rolling.size"]
+    return max(1, min(rows, int(size / max(1.0, sum(grouping.average_bytes(df).values()))))) if size and df.take(1) else rows
+
+
+def _write_group(rows: DataFrame, root: str, name: str, buckets: int, n: int, properties: Properties) -> str:
     path = f"{root.rstrip('/')}/_data/{name}.parquet"
-    table = f"lamellar_w_{uuid.uuid4().hex}"
-    writer = rows.write.format("parquet").option("path", path).option("compression", properties["writer.compression"]).option("parquet.block.size", properties["writer.row_group_size"]).option("parquet.enable.dictionary", str(properties["writer.enable_dictionary"]).lower())
+    table, seen = f"lamellar_w_{uuid.uuid4().hex}", Observation()
+    dealt = rows.repartition(buckets, RANGE).observe(seen, F.count(F.lit(1)).alias("n"))
+    writer = dealt.write.format("parquet").option("path", path).option("compression", properties["writer.compression"]).option("parquet.block.size", properties["writer.row_group_size"]).option("parquet.enable.dictionary", str(properties["writer.enable_dictionary"]).lower())
     if properties["writer.compression"] == "zstd":
         writer = writer.option("parquet.compression.codec.zstd.level", properties["writer.compression_level"])
-    writer.bucketBy(buckets, ROW).sortBy(ROW).saveAsTable(table)
+    writer.bucketBy(buckets, RANGE).sortBy(RANGE, ROW).saveAsTable(table)
     rows.sparkSession.sql(f"DROP TABLE {table}")  # an external table: its files stay
+    if (written := seen.get["n"]) != n:
+        raise RuntimeError(f"{written} rows were written to {path}, {n} were counted; write them with settle")
     return path

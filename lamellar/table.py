@@ -18,10 +18,12 @@ from lamellar.operators import deletes
 from lamellar.operators.commit import load
 from lamellar.properties import Properties
 from lamellar.sources.store import normal, plain_path
-from lamellar.sources.writer import ROW
+from lamellar.sources.writer import RANGE, ROW
 
 #: Positions of a file with deletes whose living rows are numbered together.
 BLOCK_ROWS = 32_768
+#: Ranges, and rows, that are listed in a filter; more are found by bounds, or by a join.
+LISTED, LISTED_ROWS = 1000, 50
 
 
 class Table:
@@ -52,22 +54,42 @@ class Table:
             raise InvalidArgument(f"unknown columns {missing}")
         return list(columns)
 
-    def _fragment(self, group: ColumnGroup, k: int, columns: list[str], base: int, low: int | None = None, high: int | None = None, numbered: bool = True) -> DataFrame:
-        """Given columns and ROW, numbered in the table, of a fragment; low and high bound the table's rows."""
+    def _fragment(self, group: ColumnGroup, k: int, columns: list[str], base: int, low: int | None = None, high: int | None = None, numbered: bool = True, only: Sequence[tuple[int, int]] | None = None, glued: bool = False) -> DataFrame:
+        """Given columns and ROW, as stored in a fragment that begins at row base; low and high bound the table's rows, and only the runs of them that are asked for.
+
+        glued adds RANGE, and then the rows come as Spark knows them to be bucketed and sorted by both.
+        """
         f = group.fragments[k]
         types = {x.name: x for x in self.manifest.struct.fields}
         kept = T.StructType([types[c] for c in columns])
         if not f.buckets:
             return self._external(f, kept, base, low, high, numbered)
-        shift, name = base - f.start, f"lamellar_r_{uuid.uuid4().hex}"
-        fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in [*kept.fields, T.StructField(ROW, T.LongType())])
-        self.spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY ({ROW}) SORTED BY ({ROW}) INTO {f.buckets} BUCKETS LOCATION '{f.path}'")
-        rows = self.spark.table(name)
+        shift = base - f.start
         first = max(f.start, f.start if low is None else low - shift)
         last = min(f.end, f.end if high is None else high - shift)
+        inner = T.StructType([*kept.fields, T.StructField(RANGE, T.IntegerType()), T.StructField(ROW, T.LongType())])
+        runs = [(first, last)] if only is None else [(max(first, a - shift), min(last, b - shift)) for a, b in only]
+        asked = {i for a, b in runs if a < b for i in range(a // f.span, -(-b // f.span))}
+        listed = len(asked) <= LISTED and len(asked) * f.span < f.total
+        rows = self._bucketed(f, inner) if glued or listed else self.spark.read.schema(inner).parquet(f.path)
+        if listed:
+            rows = rows.where(F.col(RANGE).isin(sorted(asked)))  # so other files aren't opened
         if first > 0 or last < f.total:
             rows = rows.where((F.col(ROW) >= first) & (F.col(ROW) < last))
-        return rows
+        if only is not None and len(only) <= LISTED_ROWS and all(b - a == 1 for a, b in only):
+            rows = rows.where(F.col(ROW).isin([a for a, b in runs if a < b]))  # reaches Parquet's statistics
+        return rows if glued else rows.drop(RANGE)
+
+    def _bucketed(self, f: Fragment, inner: T.StructType) -> DataFrame:
+        for name in ("spark.sql.legacy.bucketedTableScan.outputOrdering", "spark.sql.requireAllClusterKeysForCoPartition"):
+            self.spark.conf.set(name, str(name.endswith("Ordering")).lower())  # buckets are one sorted file each; groups meet by RANGE, then ROW
+        name = f"lamellar_r_{uuid.uuid4().hex}"
+        fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in inner.fields)
+        self.spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY ({RANGE}) SORTED BY ({RANGE}, {ROW}) INTO {f.buckets} BUCKETS LOCATION '{f.path}'")
+        try:
+            return self.spark.table(name)
+        finally:
+            self.spark.sql(f"DROP TABLE {name}")  # the catalog forgets it, the plan and the files stay
 
     def _external(self, f: Fragment, kept: T.StructType, base: int, low: int | None, high: int | None, numbered: bool) -> DataFrame:
         rows = self.spark.read.schema(kept).parquet(f.path).select("*", F.col("_metadata.row_index").alias("__pos"), F.col("_metadata.file_path").alias("__file"))
@@ -105,12 +127,13 @@ class Table:
         numbers = rows.withColumn("__block", block(F.col("__pos"))).withColumn("__place", place)
         return numbers.join(F.broadcast(known) if len(bases) <= deletes.BROADCAST_ROWS else known, "__block").withColumn(ROW, F.col("__base") + F.col("__place") - 1).drop("__block", "__base", "__place")
 
-    def rows(self, columns: Sequence[str] | None = None, low: int | None = None, high: int | None = None, numbered: bool = True) -> DataFrame:
-        """Given columns, in that order, and ROW, their number in the table; rows in [low, high).
+    def rows(self, columns: Sequence[str] | None = None, low: int | None = None, high: int | None = None, numbered: bool = True, only: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+        """Given columns, in that order, and ROW, their number in the table; rows in [low, high), or at least the runs [a, b) of them in only.
 
         Only groups that hold a column are read.  The groups of one write are joined
-        by their stored ordinal in its buckets, without a shuffle.  Columns that are
-        not stored are NULL; if none is, the first group gives the number of rows.
+        by their stored range and ordinal, file by file, without a shuffle or a sort.
+        Columns that are not stored are NULL; if none is, the first group gives the
+        number of rows.
         Where numbered is false, ROW may be NULL, as numbers among deletes cost a shuffle.
         """
         columns = self._columns(columns)
@@ -129,11 +152,13 @@ class Table:
                 if (high is None or base < high) and (low is None or base + f.rows > low):
                     glued = None
                     shifts = {g.fragments[k].start for g in groups}
+                    whole = len(groups) > 1 and len({(g.fragments[k].start, g.fragments[k].buckets, g.fragments[k].span) for g in groups}) == 1 and f.buckets > 0
                     for g in groups:
-                        own = self._fragment(g, k, [c for c in stored if c in g.columns], base, low, high, numbered or bounded or len(groups) > 1)
+                        own = self._fragment(g, k, [c for c in stored if c in g.columns], base, low, high, numbered or bounded or len(groups) > 1, only, whole)
                         if len(shifts) > 1:
                             own = own.withColumn(ROW, F.col(ROW) - g.fragments[k].start)
-                        glued = own if glued is None else glued.join(own, ROW)
+                        glued = own if glued is None else glued.join(own.hint("merge"), [RANGE, ROW]) if whole else glued.join(own, ROW)
+                    glued = glued.drop(RANGE)
                     shift = base - (0 if len(shifts) > 1 else groups[0].fragments[k].start)
                     parts.append(glued.withColumn(ROW, F.col(ROW) + shift) if shift else glued)
                 base += f.rows
@@ -196,9 +221,9 @@ class Table:
             raise InvalidArgument("row number out of range")
         if not rows:
             return self.rows(columns).limit(0).select(columns)
-        near = self.rows(columns, rows[0], rows[-1] + 1)
-        if len(rows) <= 1000:
-            found = near.where(F.col(ROW).isin(rows))  # reaches Parquet's statistics
+        near = self.rows(columns, rows[0], rows[-1] + 1, only=[(r, r + 1) for r in rows])
+        if len(rows) <= LISTED_ROWS:
+            found = near.where(F.col(ROW).isin(rows))
         else:
             wanted = self.spark.createDataFrame([(r,) for r in rows], f"{ROW} long")
             found = near.join(F.broadcast(wanted) if len(rows) <= self.properties["reader.take.broadcast_rows"] else wanted, ROW, "left_semi")
@@ -270,7 +295,7 @@ class Chunks:
             return self.table.rows(self.columns).limit(0).select(self.columns)
         low, high = min(self.bounds[c][0] for c in chunks), max(self.bounds[c][1] for c in chunks)
         asked = self.table.spark.createDataFrame([(i, *self.bounds[c]) for i, c in enumerate(chunks)], "__ask long, __low long, __high long")
-        rows = self.table.rows(self.columns, low, high)
+        rows = self.table.rows(self.columns, low, high, only=[self.bounds[c] for c in chunks])
         wanted = None
         for a, b in sorted({self.bounds[c] for c in chunks}):
             one = (F.col(ROW) >= a) & (F.col(ROW) < b)

@@ -3,6 +3,7 @@
 import json
 import threading
 import uuid
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,24 +177,89 @@ def test_indexes(spark, people):
 
 def test_races(spark, people, monkeypatch):
     root = stored(people)
-    done = []
+    done, wrong = [], []
 
     def run(i):
         try:
             done.append(Transaction(spark, root).update_statistic(f"s{i}").commit())
         except CommitConflict:
             done.append(None)
+        except Exception as e:
+            wrong.append(e)
 
-    threads = [threading.Thread(target=run, args=(i,)) for i in range(4)]
-    [t.start() for t in threads]
-    [t.join() for t in threads]
+    for turn in range(3):
+        threads = [threading.Thread(target=run, args=(4 * turn + i,)) for i in range(4)]
+        [t.start() for t in threads]
+        [t.join() for t in threads]
     won = [d for d in done if d]
+    assert not wrong and len(done) == 12
     assert won and len(set(won)) == len(won) and len(load(spark, root).statistics) == len(won)
     monkeypatch.setattr(Store, "create", lambda *a: False)
     with pytest.raises(RetriesExhausted):
         Transaction(spark, root).update_statistic("x").commit()
 
 
+def test_a_writer_that_dies_leaves_no_torn_manifest(spark, people):
+    root = stored(people)
+    with faults.inject("publish"), pytest.raises(InjectedFault):
+        Transaction(spark, root).update_statistic("x").commit()
+    assert load(spark, root).version == 1 and Table.load(spark, root).scan().count() == 100
+    assert Transaction(spark, root).update_statistic("x").commit() == 2
+    store = Store(spark, root)
+    assert store.create("_metadata/new", "one") and not store.create("_metadata/new", "two") and store.read("_metadata/new") == "one"
+    assert sorted(store.names("_metadata"))[-3:] == ["manifest-1.json", "manifest-2.json", "new"]
+
+
+def test_names_are_taken_once_by_rename(spark):
+    """The way of HDFS and the like, here on the local disk."""
+    store = Store(spark, shared_path(spark, "t"))
+    store._fs = type("Renaming", (), {"__getattr__": lambda self, name, fs=store._fs: (lambda: "hdfs") if name == "getScheme" else getattr(fs, name)})()
+    assert store.create("a/new", "one") and not store.create("a/new", "two") and store.read("a/new") == "one"
+
+
+def test_write_after_a_join_keeps_all_rows(spark):
+    """Adaptive execution may cut a join into other partitions each time it runs."""
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m"}
+    before = {k: spark.conf.get(k, None) for k in changed}
+    [spark.conf.set(k, v) for k, v in changed.items()]
+    try:
+        joined = spark.range(200_000).withColumn("k", F.col("id") % 1000).join(spark.range(1000).withColumnRenamed("id", "k"), "k")
+        for p in (None, patterns("id")):
+            root = shared_path(spark, "t")
+            groups = writer.write(joined, root, p)
+            Transaction(spark, root).append(groups, joined.schema).commit()
+            table = Table.load(spark, root)
+            assert table.count() == 200_000 == table.scan().select("id").distinct().count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_ranges_name_the_files_to_open(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    p = Properties({**patterns("o_orderkey|o_custkey", "o_totalprice"), "writer.file_rolling.rows": 100})
+    root = shared_path(spark, "t")
+    for _ in range(2):
+        Transaction(spark, root).append(writer.write(orders, root, p), orders.schema).commit()
+    table, n = Table.load(spark, root), orders.count()
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(table.scan()) and "Sort [" not in plan(table.scan()) and table.scan().count() == 2 * n
+    rows = [0, 7, n - 1, n, 2 * n - 3]
+    assert [r.o_orderkey for r in table.take(rows).collect()] == [r % n for r in rows]
+    fragment = table.manifest.groups[0].fragments[0]
+    assert fragment.buckets == -(-n // 100) and len([x for x in Store(spark, root).names(fragment.path) if x.endswith(".parquet")]) <= fragment.buckets
+    path = Store(spark, root).at(table.manifest.groups[1].fragments[0].path)
+    own = spark.read.parquet(path).where("__row = 7").select("_metadata.file_name").first().file_name
+    for file in Path(path.removeprefix("file:")).glob("*.parquet"):
+        if file.name != own:
+            file.write_bytes(b"not to be opened")
+            (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    assert [r.o_totalprice for r in table.take([7], ["o_totalprice"]).collect()] == [orders.where("o_orderkey = 7").first().o_totalprice]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lamellar_r_")]
+    sized = writer.write(orders, shared_path(spark, "t"), Properties({"writer.file_rolling.size": 4096}))
+    assert sized[0].fragments[0].buckets > n * 40 // 4096
+
+
 def test_faults_keep_what_was_committed(spark, people):
     root = stored(people)
     with faults.inject("commit_manifest"), pytest.raises(InjectedFault):
