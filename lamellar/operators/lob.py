@@ -21,6 +21,10 @@ from lamellar.table import Table
 INLINE, STORED, REFERENCE_BYTES = b"\x00", b"\x01", 24
 
 
+#: Rows of a request whose references are read first, so that only their values are.
+LISTED = 1000
+
+
 def encode_inline(value: bytes) -> bytes:
     return INLINE + value
 
@@ -47,14 +51,15 @@ def split(df: DataFrame, column: str, path: str, properties: Properties | None =
     """df with the column as a reference: its bytes after a zero if they are fewer than the threshold, else where they lie below path.
 
     NULL stays NULL.  Equal values are stored once, under a hash of theirs, so a lost
-    task or a second evaluation names them alike.
+    task or a second evaluation names them alike; a file's values are sorted by it,
+    so that a reader of few values skips the others.
     """
     properties = properties or Properties()
     least = properties["lob.inline_threshold"]
     long = F.octet_length(_value(column)) >= least
     key = F.unhex(F.substring(F.sha2(_value(column), 256), 1, 40))  # file id and row of a reference, as one key of 20 bytes
     stored = df.where(long).select(key.alias("key"), _value(column).alias("value"))
-    stored.dropDuplicates(["key"]).write.option("maxRecordsPerFile", properties["lob.rows_per_file"]).option("compression", properties["writer.compression"]).parquet(path)
+    stored.dropDuplicates(["key"]).sortWithinPartitions("key").write.option("parquet.block.size", properties["writer.row_group_size"]).option("maxRecordsPerFile", properties["lob.rows_per_file"]).option("compression", properties["writer.compression"]).parquet(path)
     reference = F.when(long, F.concat(F.lit(STORED + bytes(3)), key)).otherwise(F.concat(F.lit(INLINE), _value(column)))
     return df.withColumn(column, F.when(_value(column).isNull(), F.lit(None).cast("binary")).otherwise(reference))
 
@@ -85,18 +90,18 @@ class Segment:
     @staticmethod
     def write(df: DataFrame, root: str, columns: Sequence[str], properties: Properties | None = None) -> tuple[list[ColumnGroup], list[LobFile], T.StructType]:
         """Groups, large-object files and the stored schema; nothing is committed.  If a write fails, values already written are removed."""
-        properties, files, out = properties or Properties(), [], df
+        properties, files, paths, out = properties or Properties(), [], [], df
         store = Store(df.sparkSession, root)
         try:
             for c in columns:
-                path = store.at(f"_lobs/{c}/{uuid.uuid4().hex}.parquet")
+                paths.append(path := store.at(f"_lobs/{c}/{uuid.uuid4().hex}.parquet"))
                 out = split(out, c, path, properties)
                 n = df.sparkSession.read.parquet(path).agg(F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("b")).first()
                 files.append(LobFile(c, path, n["n"], n["n"], n["b"] or 0))
             return writer.write(out, root, properties), files, out.schema
         except Exception:
-            for f in files:
-                store.delete(f.path)
+            for path in paths:
+                store.delete(path)
             raise
 
     @classmethod
@@ -112,14 +117,34 @@ class Segment:
             raise InvalidArgument("no known column")
         return own
 
-    def resolved(self, df: DataFrame) -> DataFrame:
+    def values(self, column: str, keys: Sequence[bytes] | None = None, paths: Sequence[str] | None = None) -> DataFrame:
+        """key and value of a column's stored values: all, those of the given keys (file id and row, 20 bytes), those of some files.
+
+        Few keys become a filter that skips files' parts by their statistics; many are joined.
+        """
+        spark = self.table.spark
+        own = [f.path for f in self.stored[column] if paths is None or f.path in paths]
+        if not own:
+            return spark.createDataFrame([], "key binary, value binary")
+        stored = spark.read.parquet(*own)
+        if keys is not None and len(keys) <= LISTED:
+            stored = stored.where(F.col("key").isin([F.lit(bytes(k)) for k in keys]) if keys else F.lit(False))
+        elif keys is not None:
+            asked = spark.createDataFrame([(bytearray(k),) for k in dict.fromkeys(map(bytes, keys))], "key binary")
+            stored = stored.join(asked, "key", "left_semi")
+        return stored.dropDuplicates(["key"]) if len(own) > 1 else stored
+
+    def resolved(self, df: DataFrame, keys: dict[str, Sequence[bytes]] | None = None) -> DataFrame:
         for c, kind in self.kinds.items():
             if c in df.columns:
-                paths = [f.path for f in self.stored[c]]
-                stored = self.table.spark.read.parquet(*paths).dropDuplicates(["key"]) if len(paths) > 1 else self.table.spark.read.parquet(*paths) if paths else self.table.spark.createDataFrame([], "key binary, value binary")
-                df = resolve(df, c, stored, kind)
+                df = resolve(df, c, self.values(c, keys and keys.get(c)), kind)
         return df
 
+    def statistics(self, column: str) -> DataFrame:
+        """statistics() of a column, and its stored_values, stored_bytes and files from the manifest: values that several rows share count once in each file."""
+        files = self.stored[column]
+        return statistics(self.table.scan([column]), column).select("*", F.lit(sum(f.rows for f in files)).cast("long").alias("stored_values"), F.lit(sum(f.bytes for f in files)).cast("long").alias("stored_bytes"), F.lit(len(files)).alias("files"))
+
     def scan(self, columns: Sequence[str] | None = None, predicate: str | None = None) -> DataFrame:
         """Rows with their values; a predicate may use large columns too, and then applies after they are joined."""
         own = self._columns(columns)
@@ -129,8 +154,13 @@ class Segment:
 
     def take(self, rows: Sequence[int], columns: Sequence[str] | None = None) -> DataFrame:
         own = self._columns(columns)
-        wanted = self.table.take(rows, own).withColumn("__order", F.monotonically_increasing_id())
-        return self.resolved(wanted).orderBy("__order").select(own)
+        wanted, keys = self.table.take(rows, own).withColumn("__order", F.monotonically_increasing_id()), None
+        if len(rows) <= LISTED:
+            reference = lambda c: F.when(F.substring(c, 1, 1) == F.lit(STORED), F.substring(c, 5, 20))
+            large = [c for c in self.kinds if c in own]
+            seen = wanted.select([reference(F.col(f"`{c}`")).alias(c) for c in large]).collect() if large else []  # at most LISTED rows of 20 bytes
+            keys = {c: list({bytes(r[c]) for r in seen if r[c] is not None}) for c in large}
+        return self.resolved(wanted, keys).orderBy("__order").select(own)
 
     def chunks(self, group: int = 0):
         """Chunks hold references, not values."""

@@ -19,7 +19,7 @@ from lamellar.errors import InvalidArgument
 from lamellar.manifest import ColumnGroup, Fragment
 from lamellar.operators import grouping
 from lamellar.properties import Properties
-from lamellar.sources.store import shared_path
+from lamellar.sources.store import Store, shared_path
 
 #: The stored ordinal, and the number of the range that it is in.
 ROW, RANGE = "__row", "__range"
@@ -55,7 +55,7 @@ def numbered(df: DataFrame, order_by: Sequence[str] = (), settle: bool = True) -
 
 
 def write(df: DataFrame, root: str, properties: Properties | None = None, order_by: Sequence[str] = (), groups: Sequence[Sequence[str]] | None = None, settle: bool = True) -> list[ColumnGroup]:
-    """Write the groups of df below root/_data; nothing refers to them before a commit.  An empty df gives no groups."""
+    """Write the groups of df below root/_data; nothing refers to them before a commit.  An empty df gives no groups; a write that fails leaves no files."""
     faults.hit("write")
     properties = properties or Properties()
     fmt = properties.writable_format(properties["writer.format"])
@@ -71,7 +71,18 @@ def write(df: DataFrame, root: str, properties: Properties | None = None, order_
     buckets = max(1, min(MOST_BUCKETS, -(-n // _file_rows(df, properties))))
     span = -(-n // (RANGES * buckets)) if buckets > 1 else n
     rows = rows.withColumn(RANGE, F.floor(F.col(ROW) / span).cast("int"))
-    return [ColumnGroup(tuple(g), (Fragment(_write_group(rows.select(*[F.col(f"`{c}`") for c in g], RANGE, ROW), root, f"{i}_{uuid.uuid4().hex}", buckets, n, properties), 0, n, buckets, n, span),), fmt) for i, g in enumerate(groups)]
+    out: list[ColumnGroup] = []
+    paths = [f"{root.rstrip('/')}/_data/{i}_{uuid.uuid4().hex}.parquet" for i in range(len(groups))]
+    try:
+        for g, path in zip(groups, paths, strict=True):
+            _write_group(rows.select(*[F.col(f"`{c}`") for c in g], RANGE, ROW), path, buckets, n, properties)
+            out.append(ColumnGroup(tuple(g), (Fragment(path, 0, n, buckets, n, span),), fmt))
+    except Exception:
+        store = Store(df.sparkSession, root)
+        for path in paths:
+            store.delete(path)
+        raise
+    return out
 
 
 def _file_rows(df: DataFrame, properties: Properties) -> int:
@@ -80,8 +91,7 @@ def _file_rows(df: DataFrame, properties: Properties) -> int:
     return max(1, min(rows, int(size / max(1.0, sum(grouping.average_bytes(df).values()))))) if size and df.take(1) else rows
 
 
-def _write_group(rows: DataFrame, root: str, name: str, buckets: int, n: int, properties: Properties) -> str:
-    path = f"{root.rstrip('/')}/_data/{name}.parquet"
+def _write_group(rows: DataFrame, path: str, buckets: int, n: int, properties: Properties) -> None:
     table, seen = f"lamellar_w_{uuid.uuid4().hex}", Observation()
     dealt = rows.repartition(buckets, RANGE).observe(seen, F.count(F.lit(1)).alias("n"))
     writer = dealt.write.format("parquet").option("path", path).option("compression", properties["writer.compression"]).option("parquet.block.size", properties["writer.row_group_size"]).option("parquet.enable.dictionary", str(properties["writer.enable_dictionary"]).lower())
@@ -91,4 +101,3 @@ def _write_group(rows: DataFrame, root: str, name: str, buckets: int, n: int, pr
     rows.sparkSession.sql(f"DROP TABLE {table}")  # an external table: its files stay
     if (written := seen.get["n"]) != n:
         raise RuntimeError(f"{written} rows were written to {path}, {n} were counted; write them with settle")
-    return path
