@@ -15,7 +15,7 @@ from lamellar.functions import vectors
 from lamellar.manifest import Fragment
 from lamellar.operators import deletes
 from lamellar.operators.commit import Transaction
-from lamellar.operators.lob import Segment, statistics
+from lamellar.operators.lob import Segment
 from lamellar.properties import Properties
 from lamellar.sources import external, writer
 from lamellar.sources.store import shared_path
@@ -98,7 +98,15 @@ def _(spark, d):
 
 @query("s09_subrange", "SELECT * FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 900")
 def _(spark, d):
-    return external_table(spark, d, "orders", lambda f: Fragment(f.path, 100, 900)).scan()
+    def cut(files: list[Fragment]) -> list[Fragment]:
+        base, out = 0, []
+        for f in files:
+            low, high = max(0, 100 - base), min(f.rows, 900 - base)
+            out += [Fragment(f.path, low, high)] if low < high else []
+            base += f.rows
+        return out
+
+    return external_table(spark, d, "orders", "o_orderkey", cut).scan()
 
 
 @query("s27_row_numbers", "SELECT o_orderkey, o_orderkey AS row_number FROM orders WHERE o_totalprice > 200000")
@@ -154,6 +162,31 @@ for _name, _of, _cols, _text, _best, _left in [
     query(_name, f"SELECT {_cols} FROM {_of}" + (f" WHERE {_where}" if _where else ""))(_run)
 
 
+@query("w16_literals", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_totalprice < 1.5e5 AND o_orderpriority <> 'it''s'")
+def _(spark, d):
+    return table(spark, d, "orders", ORDERS).scan(["o_orderkey", "o_orderdate"], "o_orderdate >= TIMESTAMP '1995-01-01' AND o_totalprice < 1.5e5 AND o_orderpriority <> 'it''s'")
+
+
+@query("w19_bare_boolean", "SELECT o_orderkey FROM orders WHERE o_totalprice > 200000")
+def _(spark, d):
+    return table(spark, d, "orders", ORDERS).scan(["o_orderkey"], "true AND NOT false AND o_totalprice > 200000")
+
+
+@query("w20_comments", "SELECT c_custkey FROM customer WHERE c_acctbal > 100")
+def _(spark, d):
+    return table(spark, d, "customer").scan(["c_custkey"], "c_acctbal > /* in whole units */ 100 -- and no more")
+
+
+@query("w21_quoted_names", "SELECT c_custkey FROM customer WHERE c_acctbal > 100 AND c_name >= 'C'")
+def _(spark, d):
+    return table(spark, d, "customer", patterns("c_name")).scan(["c_custkey"], "\"c_acctbal\" > 100 AND `c_name` >= 'C'")
+
+
+@query("w23_column_groups", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'O' AND o_custkey > 10")
+def _(spark, d):
+    return table(spark, d, "orders", ORDERS).scan(["o_orderkey", "o_orderpriority"], "o_totalprice > 100000 AND o_orderstatus = 'O' AND o_custkey > 10")
+
+
 # Random access and chunks
 
 
@@ -199,6 +232,30 @@ def _(spark, d):
     return _chunks(spark, d, "customer", 500).statistics().where(F.col("column") == "c_name").select("chunk", "column", "bytes")
 
 
+@query("s10_all_chunks", "SELECT c_custkey, c_name FROM customer")
+def _(spark, d):
+    chunks = _chunks(spark, d, "customer", 700, 0, patterns("c_custkey|c_name"))
+    return chunks.read_many(range(len(chunks)))
+
+
+@query("s25_take_null_fill", "SELECT o_orderkey, CAST(NULL AS VARCHAR) AS phantom FROM orders WHERE o_orderkey % 5 = 0")
+def _(spark, d):
+    schema = T.StructType([*source(spark, d, "orders").schema.fields, T.StructField("phantom", T.StringType())])
+    t = table(spark, d, "orders", ORDERS, schema=schema)
+    return t.take(range(0, t.count(), 5), ["o_orderkey", "phantom"])
+
+
+@query("s26_row_range", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= (SELECT count(*) // 3 FROM orders) AND o_orderkey < (SELECT count(*) // 2 FROM orders)")
+def _(spark, d):
+    t = table(spark, d, "orders", Properties({"writer.policy": "schema_based", "writer.split.schema_based.patterns": ("o_orderkey|o_custkey", "o_totalprice"), "writer.file_rolling.rows": 1000}))
+    return t.rows(["o_orderkey", "o_totalprice"], t.count() // 3, t.count() // 2).drop(writer.ROW)
+
+
+@query("o03_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
+def _(spark, d):
+    return table(spark, d, "orders", ORDERS).scan(["o_orderkey", "o_totalprice"], ordered=True).limit(100)
+
+
 # Versions
 
 
@@ -226,11 +283,31 @@ def _(spark, d):
     return Table.load(spark, root).scan()
 
 
-@query("g02_group_layout", None)
+@query("g02_group_layout", "SELECT * FROM (VALUES (0, 'o_orderkey'), (0, 'o_custkey'), (1, 'o_totalprice'), (1, 'o_orderdate'), (2, 'o_orderstatus'), (2, 'o_orderpriority')) AS t(place, name)")
 def _(spark, d):
     return spark.createDataFrame([(i, c) for i, g in enumerate(table(spark, d, "orders", ORDERS).manifest.groups) for c in g.columns], "place int, name string")
 
 
+@query("g08_write_after_join", "SELECT o_orderkey, o_totalprice, c_name, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey")
+def _(spark, d):
+    root = shared_path(spark, "table")
+    joined = source(spark, d, "orders").join(source(spark, d, "customer").hint("merge"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_totalprice", "c_name", "c_acctbal")
+    Transaction(spark, root).append(writer.write(joined, root), joined.schema).commit()
+    return Table.load(spark, root).scan()
+
+
+@query("g09_rolled_files", "SELECT * FROM events")
+def _(spark, d):
+    return table(spark, d, "events", Properties({"writer.policy": "schema_based", "writer.split.schema_based.patterns": ("event_id|user_id",), "writer.file_rolling.size": 1 << 18})).scan()
+
+
+for _codec in ("uncompressed", "snappy", "gzip", "lz4", "zstd"):
+    def _run(spark, d, codec=_codec):
+        return table(spark, d, "part", Properties({"writer.compression": codec, "writer.enable_dictionary": codec != "gzip"})).scan()
+
+    query(f"g11_codec_{_codec}", "SELECT * FROM part")(_run)
+
+
 @query("g06_stream_append", "SELECT * FROM events")
 def _(spark, d):
     root, folder = shared_path(spark, "table"), shared_path(spark, "ticks")
@@ -244,39 +321,39 @@ def _(spark, d):
 # Deletes and external files
 
 
-def external_table(spark, d, name, change=lambda f: f) -> Table:
-    folder, root = shared_path(spark, "files"), shared_path(spark, "table")
-    df = source(spark, d, name)
-    df.coalesce(1).write.parquet(folder)
-    external.register(spark, root, [change(f) for f in external.explore(spark, folder)])
-    return Table.load(spark, root)
+def files_of(spark, d, name, key) -> str:
+    """A folder of a few files that follow each other by the key."""
+    folder = shared_path(spark, "files")
+    source(spark, d, name).repartitionByRange(4, key).sortWithinPartitions(key).write.parquet(folder)
+    return folder
 
 
-def deleted_table(spark, d, name, positions: DataFrame, with_path: bool) -> Table:
-    """A table over one file of which rows at some positions are deleted."""
-    folder, dels, root = shared_path(spark, "files"), shared_path(spark, "deletes"), shared_path(spark, "table")
-    source(spark, d, name).coalesce(1).write.parquet(folder)
-    path = external.explore(spark, folder)[0].path
-    own = positions.select(F.lit(path).alias("file_path"), "pos") if with_path else positions
-    own.write.parquet(dels)
-    kind = "positional" if with_path else "vector"
-    external.register(spark, root, external.plan(spark, [external.DataFile(path, ((kind, dels),))], Properties({"iceberg.snapshot_id": 1})))
+def external_table(spark, d, name, key, change=lambda files: files) -> Table:
+    root = shared_path(spark, "table")
+    external.register(spark, root, change(external.explore(spark, files_of(spark, d, name, key))))
     return Table.load(spark, root)
 
 
-def _positions(spark, d, name, key, where) -> DataFrame:
-    own = source(spark, d, name).where(where).select(F.col(key).alias("pos"))
-    return own.unionByName(own)  # positions may repeat
+def deleted_table(spark, d, name, key, where: str, with_path: bool) -> Table:
+    """A table over several files of which rows at some positions are deleted: by one delete table, or by a vector for each file."""
+    folder, dels, root = files_of(spark, d, name, key), shared_path(spark, "deletes"), shared_path(spark, "table")
+    files = [f.path for f in external.explore(spark, folder)]
+    own = spark.read.parquet(folder).where(where).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("pos"))
+    own = own.unionByName(own)  # positions may repeat
+    (own.drop("file").write if with_path else own.drop("file_path").write.partitionBy("file")).parquet(dels)
+    deleted = lambda path: ("positional", dels) if with_path else ("vector", f"{dels}/file={path.rsplit('/', 1)[1]}")
+    external.register(spark, root, external.plan(spark, [external.DataFile(p, (deleted(p),)) for p in files], Properties({"iceberg.snapshot_id": 1})))
+    return Table.load(spark, root)
 
 
 @query("d01_positional_delete", "SELECT * FROM orders WHERE o_orderkey % 7 <> 0")
 def _(spark, d):
-    return deleted_table(spark, d, "orders", _positions(spark, d, "orders", "o_orderkey", "o_orderkey % 7 = 0"), True).scan()
+    return deleted_table(spark, d, "orders", "o_orderkey", "o_orderkey % 7 = 0", True).scan()
 
 
 @query("d02_deletion_vector", "SELECT event_id, user_id FROM events WHERE event_id % 3 <> 1")
 def _(spark, d):
-    return deleted_table(spark, d, "events", _positions(spark, d, "events", "event_id", "event_id % 3 = 1"), False).scan(["event_id", "user_id"])
+    return deleted_table(spark, d, "events", "event_id", "event_id % 3 = 1", False).scan(["event_id", "user_id"])
 
 
 @query("d03_live_rows_per_file", "SELECT o_orderkey % 4 AS part, count(*) AS live FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1")
@@ -290,7 +367,7 @@ def _(spark, d):
 
 @query("d04_take_after_delete", "SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders WHERE o_orderkey % 7 <> 0) WHERE r IN (0, 5, 6, 500, 1000)")
 def _(spark, d):
-    return deleted_table(spark, d, "orders", _positions(spark, d, "orders", "o_orderkey", "o_orderkey % 7 = 0"), True).take([0, 5, 6, 500, 1000], ["o_orderkey", "o_custkey"])
+    return deleted_table(spark, d, "orders", "o_orderkey", "o_orderkey % 7 = 0", True).take([0, 5, 6, 500, 1000], ["o_orderkey", "o_custkey"])
 
 
 @query("f19_merge_dedup", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
@@ -300,12 +377,12 @@ def _(spark, d):
 
 @query("f21_explore_dir", "SELECT * FROM supplier")
 def _(spark, d):
-    return external_table(spark, d, "supplier").scan()
+    return external_table(spark, d, "supplier", "s_suppkey").scan()
 
 
 @query("f22_row_count", "SELECT count(*) AS n FROM events")
 def _(spark, d):
-    return external_table(spark, d, "events").rows(["event_id"]).agg(F.count("*").alias("n"))
+    return external_table(spark, d, "events", "event_id").rows(["event_id"]).agg(F.count("*").alias("n"))
 
 
 # Large objects
@@ -331,13 +408,32 @@ def _(spark, d):
     root, p = _segment(spark, d)
     kept, again = Segment.open(spark, root, {"text": "string"}).scan(["doc_id", "text"], "doc_id % 10 <> 0"), shared_path(spark, "table")
     groups, files, schema = Segment.write(kept, again, ["text"], p)
-    Transaction(spark, again).append(groups, schema).add_lob(files[0]).commit()
+    t = Transaction(spark, again).append(groups, schema)
+    for f in files:
+        t.add_lob(f)
+    t.commit()
     return Segment.open(spark, again, {"text": "string"}).scan()
 
 
-@query("l07_lob_stats", "SELECT count(*) AS total, CAST(count(*) - count(text) AS BIGINT) AS nulls, count(*) FILTER (strlen(text) < 4096) AS inline, count(*) FILTER (strlen(text) >= 4096) AS stored, CAST(sum(strlen(text)) FILTER (strlen(text) < 4096) AS BIGINT) AS inline_bytes FROM documents")
+@query("l07_lob_stats", "SELECT count(*) AS total, CAST(count(*) - count(text) AS BIGINT) AS nulls, count(*) FILTER (strlen(text) < 4096) AS inline, count(*) FILTER (strlen(text) >= 4096) AS stored, CAST(sum(strlen(text)) FILTER (strlen(text) < 4096) AS BIGINT) AS inline_bytes, (SELECT count(*) FROM (SELECT DISTINCT text FROM documents WHERE strlen(text) >= 4096)) AS stored_values, (SELECT CAST(sum(strlen(text)) AS BIGINT) FROM (SELECT DISTINCT text FROM documents WHERE strlen(text) >= 4096)) AS stored_bytes, 1 AS files FROM documents")
+def _(spark, d):
+    return Segment.open(spark, _segment(spark, d)[0], {"text": "string"}).statistics("text")
+
+
+@query("l05_lob_values", "SELECT DISTINCT CAST(strlen(text) AS INTEGER) AS size, sha256(text) AS hash FROM documents WHERE strlen(text) >= 4096")
+def _(spark, d):
+    return Segment.open(spark, _segment(spark, d)[0], {"text": "string"}).values("text").select(F.octet_length("value").alias("size"), F.sha2("value", 256).alias("hash"))
+
+
+@query("s29_segment_filter", "SELECT doc_id FROM documents WHERE length(text) > 5000 AND doc_id % 3 = 0")
+def _(spark, d):
+    return Segment.open(spark, _segment(spark, d)[0], {"text": "string"}).scan(["doc_id"], "length(text) > 5000 AND doc_id % 3 = 0")
+
+
+@query("s31_segment_references", "SELECT doc_id, CAST(CASE WHEN strlen(text) >= 4096 THEN 24 ELSE strlen(text) + 1 END AS INTEGER) AS bytes FROM documents")
 def _(spark, d):
-    return statistics(Segment.open(spark, _segment(spark, d)[0], {"text": "string"}).table.scan(["text"]), "text")
+    chunks = Segment.open(spark, _segment(spark, d)[0], {"text": "string"}).chunks()
+    return chunks.read_many(range(len(chunks))).select("doc_id", F.octet_length("text").alias("bytes"))
 
 
 @query("s30_segment_take", "SELECT doc_id, text FROM documents WHERE doc_id IN (1, 3, 90, 150)")
@@ -354,7 +450,7 @@ def _(spark, d):
     return spark.sql("SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 2) AS mean FROM lamellar_orders WHERE o_totalprice > 1000 GROUP BY 1")
 
 
-for _name, _join, _cols in [("j05_sql_join", "JOIN", "c_name, o_orderkey"), ("j06_left_join", "LEFT JOIN", "c_name, o_orderkey"), ("j06_semi_join", "LEFT SEMI JOIN", "c_name"), ("j06_anti_join", "LEFT ANTI JOIN", "c_name")]:
+for _name, _join, _cols in [("j05_sql_join", "JOIN", "c_name, o_orderkey"), ("j06_left_join", "LEFT JOIN", "c_name, o_orderkey"), ("j06_semi_join", "LEFT SEMI JOIN", "c_name"), ("j06_anti_join", "LEFT ANTI JOIN", "c_name"), ("j06_right_join", "RIGHT JOIN", "c_name, o_orderkey"), ("j06_full_join", "FULL JOIN", "c_name, o_orderkey")]:
     def _run(spark, d, join=_join, cols=_cols, name=_name):
         table(spark, d, "orders", ORDERS).view(f"{name}_o")
         table(spark, d, "customer").view(f"{name}_c")
