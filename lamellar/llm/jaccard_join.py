@@ -14,7 +14,7 @@ so to each other.  By the triangle inequality the rest can link to these only
 within 2r of the pivot: that boundary is joined with the pivot's region again, and
 what lies further only among itself.  The second join of a cell compares
 documents of different components alone, drops pairs by size and by a bound from
-shingle counts, and cells that are too large are parted by further slices first.
+sketches, and cells that are too large are parted by further slices first.
 No link between different texts is lost; links inside a component are not listed.
 """
 
@@ -34,9 +34,9 @@ from lamellar.llm.substrings import _planes, _values
 SHINGLE = 5
 #: Text bytes in a part: its sets and cells take some twenty times that in memory.
 PART_BYTES = 12 << 20
-#: The link threshold as a share; least counters of a sketch; documents of one cell outside its largest component that are compared at once; rounds before that limit is lifted.
+#: The link threshold as a share; least bits of a sketch, as a power of two; documents of one cell outside its largest component that are compared at once; rounds before that limit is lifted.
 NUMERATOR, DENOMINATOR = 4, 5
-COUNTERS, CELL_ROWS, ROUNDS = 16, 2048, 2
+LEAST_BITS, CELL_ROWS, ROUNDS = 6, 2048, 2
 #: Documents of one cell that are compared pair by pair without looking for its largest component.
 FEW = 32
 #: Documents whose cells make one bucket in the second join; shingles whose cells are found together.
@@ -136,44 +136,35 @@ def _cells(sets: list[np.ndarray], salt: np.ndarray | None, turn: int) -> tuple[
     return np.concatenate(names), np.concatenate(owners)
 
 
-def counters(sizes: np.ndarray) -> np.ndarray:
-    """Counters of the sketch of a set: a power of two, one for some two shingles."""
-    return np.maximum(COUNTERS, 2 ** np.floor(np.log2(np.maximum(sizes, COUNTERS) / 1.5)).astype(np.int64))
-
-
 def sketch(values: np.ndarray) -> np.ndarray:
-    """Shingles per class of hashes: two sets differ in at least the sum of the differences.  Empty if a class has too many to count."""
-    n = int(counters(np.array([len(values)]))[0])
-    out = np.bincount((values >> np.uint64(5)).astype(np.int64) & (n - 1), minlength=n)
-    return out.astype(np.uint8) if out.max(initial=0) < 256 else np.zeros(0, np.uint8)
+    """Parities of the shingles in each of 4 to 8 classes for a shingle, as bits: two sets differ in at least as many shingles as sketches in bits."""
+    n = 1 << max(LEAST_BITS, (8 * len(values)).bit_length() - 1)
+    return np.packbits(np.bincount((values >> np.uint64(5)).astype(np.int64) & (n - 1), minlength=n) & 1)
 
 
 class Sketches:
     """Sketches of many sets, of one size together, for bounds on pairs."""
 
     def __init__(self, rows: list[np.ndarray]):
-        self.size = np.array([len(x) for x in rows], np.int64)
+        self.size = np.array([len(x) // 8 for x in rows], np.int64)
         self.place, self.table = np.zeros(len(rows), np.int64), {}
         for n in np.unique(self.size).tolist():
             own = np.flatnonzero(self.size == n)
             self.place[own] = np.arange(len(own))
-            self.table[n] = np.stack([rows[i] for i in own.tolist()]) if n else np.zeros((len(own), 0), np.uint8)
+            self.table[n] = np.stack([rows[i] for i in own.tolist()]).view(np.uint64)
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """At least so many shingles are in one of the sets a[i], b[i] alone."""
+        """At least so many shingles are in one of the sets a[i], b[i] alone.  The larger sketch is folded to the size of the smaller."""
         out = np.zeros(len(a), np.int64)
         kinds = self.size[a] << 32 | self.size[b]
         for kind in np.unique(kinds).tolist():
             one, two = kind >> 32, kind & 0xFFFFFFFF
             own, least = np.flatnonzero(kinds == kind), min(one, two)
-            if not least:
-                continue
-            step = max(1, (4 << 20) // max(one, two))
+            folded = lambda n, x: np.bitwise_xor.reduce(self.table[n][self.place[x]].reshape(len(x), -1, least), axis=1)  # noqa: B023,E731
+            step = max(1, (1 << 18) // max(one, two))
             for i in range(0, len(own), step):
                 k = own[i : i + step]
-                x = self.table[one][self.place[a[k]]].reshape(len(k), -1, least).sum(axis=1, dtype=np.int32)
-                y = self.table[two][self.place[b[k]]].reshape(len(k), -1, least).sum(axis=1, dtype=np.int32)
-                out[k] = np.abs(x - y).sum(axis=1)
+                out[k] = np.bitwise_count(folded(one, a[k]) ^ folded(two, b[k])).sum(axis=1, dtype=np.int64)
         return out
 
 
@@ -284,7 +275,7 @@ def _stars(shared: DataFrame) -> DataFrame:
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sizes = batch.num_rows, batch.column(7).to_numpy() + batch.column(8).to_numpy()
-            rows = [np.frombuffer(x.as_buffer(), np.uint8) if len(x.as_buffer()) else np.zeros(0, np.uint8) for c in (5, 6) for x in batch.column(c)]
+            rows = [np.frombuffer(x.as_buffer(), np.uint8) for c in (5, 6) for x in batch.column(c)]
             apart = Sketches(rows).apart(np.arange(n), np.arange(n) + n)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(apart * NUMERATOR <= sizes * (DENOMINATOR - NUMERATOR))], names=["a", "b", "ka", "kb", "open", "near"])
 
