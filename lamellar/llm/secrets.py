@@ -27,6 +27,8 @@ BODY = "[A-Za-z0-9+/_.~-]"
 ALPHABET = string.ascii_letters + string.digits + "+/_.~-="
 PREFIXED = "^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,})$"
 NAMES = "(?i)(pass|pwd|secret|token|api|key|auth|credential|private|bearer)"
+#: What is no secret beyond doubt: a word, an address, or words and numbers that stand side by side or are joined, but no letters beside digits.  No group repeats, which would exhaust the stack on long tokens.
+PLAIN, JOINED, BESIDE = "^[A-Za-z]+[.-]?$|^(https?:?)?//|^https?|^[a-z0-9._-]+\\.(html?|com|org|net|png|jpe?g|css|js)(/|$)", "^[a-z0-9.+~_/-]+$", "[a-z][0-9]|[0-9][a-z]"
 #: What may open and close a quotation; what stands between a candidate and its name, read backwards.
 QUOTE = "[\"'`]"
 BETWEEN = f"[^A-Za-z0-9+/_.~\\-\\s=:\\p{{L}}\\p{{N}}]*+(?:\\s*+>?[=:]++\\s*+{QUOTE}?|\\s*+)"
@@ -100,7 +102,7 @@ def doubtless() -> Column:
     """1 or 0 for candidates whose form or assignment tells what they are, null for all others."""
     s = F.col("secret")
     sure = s.rlike(PREFIXED) | ((F.col("named") == 1) & (F.col("assigned") == 1) & s.rlike("[0-9]") & s.rlike("[A-Za-z]"))
-    plain = s.rlike("^[A-Za-z]+[.-]?$|^[0-9.+~-]+$|^https?|^[a-z0-9._-]+\\.(html?|com|org|net|png|jpe?g|css|js)(/|$)|^(/?[a-z._-]+/)+[a-z._-]*$")
+    plain = s.rlike(PLAIN) | (s.rlike(JOINED) & ~s.rlike(BESIDE))
     return F.when(sure, 1.0).when(plain & (F.col("named") == 0), 0.0)
 
 
