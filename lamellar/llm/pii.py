@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamellar.llm import common
 from lamellar.llm import kernels as K
@@ -266,7 +267,8 @@ def detect(docs: DataFrame, model: Model | None, redact: bool = False) -> DataFr
     names = [c for c in docs.columns if c != "spans"]
     schema = docs.select(*names).schema
     place = names.index("text")
-    out_schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields) + ", spans array<struct<kind:int,start:bigint,end:bigint,base:boolean,probability:double>>"
+    span = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType()), T.StructField("probability", T.DoubleType())])
+    out_schema = T.StructType([T.StructField("text", T.StringType()) if f.name == "text" else f for f in schema.fields] + [T.StructField("spans", T.ArrayType(span))])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,7 +293,7 @@ def detect(docs: DataFrame, model: Model | None, redact: bool = False) -> DataFr
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(_SPAN))], names=[*names, "spans"])
 
     common.ship(docs.sparkSession)
-    return docs.select(*[F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c.replace('`', '``')}`") for c in names]).mapInArrow(mark, out_schema)
+    return docs.select(*[F.col("text").cast("string").alias("text") if c == "text" else F.col(common.quoted(c)) for c in names]).mapInArrow(mark, out_schema)
 
 
 def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
