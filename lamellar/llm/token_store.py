@@ -2,8 +2,10 @@
 
 A shard holds the ids of a run of documents in ascending doc_id order.  Its
 distinct ids are numbered densely; bit after bit, from the highest, is stored as
-a compressed plane with sampled ranks, and the sequence is stably parted by that
-bit.  Token access, counting, rank and occurrence lookup read the planes alone.
+a plane with sampled ranks, and the sequence is stably parted by that bit.  A
+plane is compressed in blocks of some thousand bits behind a table of offsets:
+token access, counting, rank and occurrence lookup decompress the blocks that
+they touch, two a plane and position at most, and nothing else of the shard.
 Shards are rows of a Parquet dataset, so any store that Spark writes to holds
 them, and a lost task writes its shards again.
 """
@@ -11,8 +13,8 @@ them, and a lost task writes its shards again.
 from __future__ import annotations
 
 import struct
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +25,15 @@ from pyspark.sql import functions as F
 from lamellar.llm import common, tokens
 
 END_ID, SHARD_TOKENS = 2, 1 << 18
-#: Fixed values of the file format: first bytes, and bits between two sampled ranks.
-MAGIC, SAMPLED = b"WVM1", 512
+#: Fixed values of the file format: first bytes, bits between two sampled ranks, bytes of a block of bits, and its head: length, planes, ids in the alphabet.
+MAGIC, SAMPLED, BLOCK, HEAD = b"WVM2", 512, 4096, "<4sQBQ"
+#: Partitions are of about so many bytes of text.
+PART_BYTES = 64 << 20
 _CODEC = "zstd"
 
 
-def _put(out: list[bytes], array: np.ndarray) -> None:
-    raw = array.tobytes()
-    packed = pa.compress(raw, codec=_CODEC, asbytes=True)
-    out += [struct.pack("<QQ", len(raw), len(packed)), packed]
-
-
 def encode_shard(ids: np.ndarray) -> bytes:
-    """MAGIC, length, number of planes, then compressed: the alphabet; for each plane its number of zeros, bits and sampled ranks."""
+    """HEAD; where each plane begins and its number of zeros; the alphabet; of each plane the sampled ranks, the ends of its blocks, and the compressed blocks."""
     top = int(ids.max()) + 1 if len(ids) else 0
     there = np.zeros(top, bool)
     there[ids] = True
@@ -45,50 +43,65 @@ def encode_shard(ids: np.ndarray) -> bytes:
     kind = np.uint16 if len(alphabet) <= 1 << 16 else np.uint32
     now = dense[ids].astype(kind) if len(ids) else np.zeros(0, kind)
     planes = max(1, (len(alphabet) - 1).bit_length()) if len(alphabet) else 0
-    out = [MAGIC, struct.pack("<QB", len(ids), planes)]
-    _put(out, alphabet)
+    bodies, zeros_of = [], []
     for bit in range(planes - 1, -1, -1):
         ones = (now & kind(1 << bit)) != 0
         packed = np.packbits(ones)
-        zeros = now[~ones]
         sums = np.add.reduceat(np.bitwise_count(packed).astype(np.int64), np.arange(0, len(packed), SAMPLED // 8)) if len(packed) else np.zeros(0, np.int64)
-        out.append(struct.pack("<Q", len(zeros)))
-        _put(out, packed)
-        _put(out, np.concatenate([[0], np.cumsum(sums)]).astype("<u4"))
+        raw = packed.tobytes()
+        blocks = [pa.compress(raw[i : i + BLOCK], codec=_CODEC, asbytes=True) for i in range(0, len(raw), BLOCK)]
+        bodies.append(b"".join([np.concatenate([[0], np.cumsum(sums)]).astype("<u4").tobytes(), np.cumsum([0, *map(len, blocks)]).astype("<u4").tobytes(), *blocks]))
+        zeros = now[~ones]
+        zeros_of.append(len(zeros))
         now = np.concatenate([zeros, now[ones]])
-    return b"".join(out)
+    first = struct.calcsize(HEAD) + 16 * planes + 4 * len(alphabet)
+    begins = first + np.cumsum([0, *map(len, bodies)])[:planes]
+    return b"".join([struct.pack(HEAD, MAGIC, len(ids), planes, len(alphabet)), np.stack([begins, zeros_of], axis=1).astype("<i8").tobytes() if planes else b"", alphabet.tobytes(), *bodies])
 
 
 class Shard:
-    """Reads what encode_shard() wrote."""
+    """Reads what encode_shard() wrote, in place: a block of bits is decompressed when a query touches it."""
 
-    def __init__(self, data: bytes):
-        if data[:4] != MAGIC:
+    def __init__(self, data: bytes, kept: int = 64):
+        magic, self.n, self.planes, letters = struct.unpack_from(HEAD, data)
+        if magic != MAGIC:
             raise ValueError("not a shard")
-        self.n, self.planes = struct.unpack_from("<QB", data, 4)
-        self._at = 13
-        self.alphabet = np.frombuffer(self._get(data), "<u4")
-        self.zeros, self.bits, self.sampled = [], [], []
-        for _ in range(self.planes):
-            self.zeros.append(struct.unpack_from("<Q", data, self._at)[0])
-            self._at += 8
-            self.bits.append(np.frombuffer(self._get(data), np.uint8))
-            self.sampled.append(np.frombuffer(self._get(data), "<u4"))
-
-    def _get(self, data: bytes) -> bytes:
-        raw, packed = struct.unpack_from("<QQ", data, self._at)
-        self._at += 16 + packed
-        return pa.decompress(data[self._at - packed : self._at], decompressed_size=raw, codec=_CODEC, asbytes=True)
+        self._data, at = memoryview(data), struct.calcsize(HEAD)
+        table = np.frombuffer(data, "<i8", 2 * self.planes, at).reshape(-1, 2)
+        self._begins, self.zeros = table[:, 0].tolist(), table[:, 1].tolist()
+        self.alphabet = np.frombuffer(data, "<u4", letters, at + 16 * self.planes)
+        bits = -(-self.n // 8)
+        self._samples, self._blocks = -(-bits // (SAMPLED // 8)) + 1, -(-bits // BLOCK)
+        self.block = lru_cache(maxsize=kept)(self._block)
+
+    def sampled(self, plane: int) -> np.ndarray:
+        """Ones before each sampled position."""
+        return np.frombuffer(self._data, "<u4", self._samples, self._begins[plane])
+
+    def _block(self, plane: int, k: int) -> np.ndarray:
+        """The k-th block of a plane's bits."""
+        table = self._begins[plane] + 4 * self._samples
+        low, high = struct.unpack_from("<II", self._data, table + 4 * k)
+        body = table + 4 * (self._blocks + 1)
+        size = min(BLOCK, -(-self.n // 8) - k * BLOCK)
+        return np.frombuffer(pa.decompress(self._data[body + low : body + high], decompressed_size=size, codec=_CODEC, asbytes=True), np.uint8)
+
+    def bits(self, plane: int) -> np.ndarray:
+        """All bytes of a plane."""
+        return np.concatenate([np.zeros(0, np.uint8), *(self._block(plane, k) for k in range(self._blocks))])
 
     def _ones(self, plane: int, i: int) -> int:
         """Ones before position i."""
-        block = i // SAMPLED
-        n, first = int(self.sampled[plane][block]), block * (SAMPLED // 8)
-        n += int(np.bitwise_count(self.bits[plane][first : i // 8]).sum())
-        return n + ((int(self.bits[plane][i // 8]) >> (8 - i % 8)).bit_count() if i % 8 else 0)
+        sample = i // SAMPLED
+        n, first = int(self.sampled(plane)[sample]), sample * (SAMPLED // 8)
+        if i > sample * SAMPLED:
+            block, at = self.block(plane, first // BLOCK), first % BLOCK
+            n += int(np.bitwise_count(block[at : at + i // 8 - first]).sum())
+            n += (int(block[at + i // 8 - first]) >> (8 - i % 8)).bit_count() if i % 8 else 0
+        return n
 
     def _bit(self, plane: int, i: int) -> int:
-        return int(self.bits[plane][i // 8]) >> (7 - i % 8) & 1
+        return int(self.block(plane, i // 8 // BLOCK)[i // 8 % BLOCK]) >> (7 - i % 8) & 1
 
     def access(self, i: int) -> int:
         """The id at position i."""
@@ -130,20 +143,20 @@ class Shard:
 
     def _find(self, plane: int, bit: int, k: int) -> int:
         """Position of the k-th (from 0) bit of that value."""
-        sampled = self.sampled[plane].astype(np.int64)
+        sampled = self.sampled(plane).astype(np.int64)
         if not bit:
             sampled = np.arange(len(sampled)) * SAMPLED - sampled
-        block = int(np.searchsorted(sampled, k, side="right")) - 1
-        first = block * (SAMPLED // 8)
-        bits = np.unpackbits(self.bits[plane][first : first + SAMPLED // 8])
-        return block * SAMPLED + int(np.flatnonzero(bits == bit)[k - int(sampled[block])])
+        sample = int(np.searchsorted(sampled, k, side="right")) - 1
+        first = sample * (SAMPLED // 8)
+        bits = np.unpackbits(self.block(plane, first // BLOCK)[first % BLOCK : first % BLOCK + SAMPLED // 8])
+        return sample * SAMPLED + int(np.flatnonzero(bits == bit)[k - int(sampled[sample])])
 
     def ids(self) -> np.ndarray:
         """All ids, in order."""
         kind = np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32
         now = np.zeros(self.n, kind)
         for p in range(self.planes - 1, -1, -1):
-            ones = np.unpackbits(self.bits[p], count=self.n).view(bool)
+            ones = np.unpackbits(self.bits(p), count=self.n).view(bool)
             before = np.empty(self.n, kind)
             before[~ones] = now[: self.zeros[p]]
             before[ones] = now[self.zeros[p] :] | kind(1 << (self.planes - 1 - p))
@@ -155,8 +168,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     """Encode documents and write their ids to a dataset of shards, in ascending doc_id order.
 
     docs has doc_id and text; other columns are ignored.  A null or empty text is
-    just the end id; a null doc_id comes first; rows with one doc_id lie together,
-    by text.  An empty table gives an empty dataset.  A document is never divided,
+    just the end id; a null doc_id comes first; rows with one doc_id lie together, by
+    a hash of their text, however many partitions they take.  An empty table gives an empty dataset.  A document is never divided,
     so a shard is longer than shard_tokens only for a longer document.
     """
     spark = docs.sparkSession
@@ -191,19 +204,59 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
             yield flush()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = texts.repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed, count = texts.withColumn("tie", F.xxhash64("text")), max(common.partitions(spark), -(-common.text_bytes(texts) // PART_BYTES))
+    ordered = keyed.repartitionByRange(count, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
     ordered.mapInArrow(build, "part int, shard int, start long, n long, doc_ids binary, lengths binary, matrix binary").write.option("compression", "uncompressed").parquet(path)
 
 
+def _bases(shards: DataFrame) -> dict[int, int]:
+    """Ids before each partition of the writer, of which there is one for PART_BYTES of text."""
+    base, done = {}, 0
+    for part, n in sorted((r["part"], r["n"]) for r in shards.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+        base[part], done = done, done + n
+    return base
+
+
+def tokens_at(spark: SparkSession, path: str, positions: Sequence[int]) -> DataFrame:
+    """position and token of the given places among all ids of a dataset; places beyond its end give no row."""
+    common.ship(spark)
+    shards = spark.read.parquet(path)
+    base, asked = _bases(shards), np.unique(np.array(positions, np.int64))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, start, n, matrix in zip(*(batch.column(k) for k in range(4)), strict=True):
+                first = base[part.as_py()] + start.as_py()
+                own = asked[np.searchsorted(asked, first) : np.searchsorted(asked, first + n.as_py())]
+                shard = Shard(matrix.as_buffer()) if len(own) else None
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([shard.access(i) for i in (own - first).tolist()], pa.int64())], names=["position", "token"])
+
+    return shards.select("part", "start", "n", "matrix").mapInArrow(look, "position long, token long")
+
+
+def occurrences(spark: SparkSession, path: str, wanted: Sequence[int]) -> DataFrame:
+    """token, doc_id and place (in the document) of every occurrence of the given ids in a dataset."""
+    common.ship(spark)
+    asked = list(dict.fromkeys(wanted))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for docs, lengths, matrix in zip(*(batch.column(k) for k in range(3)), strict=True):
+                shard, doc = Shard(matrix.as_buffer()), np.frombuffer(docs.as_buffer(), "<i8")
+                at = np.concatenate([[0], np.cumsum(np.frombuffer(lengths.as_buffer(), "<i8"))])
+                for token in asked:
+                    place = np.array([shard.select(token, k) for k in range(shard.count(token))], np.int64)
+                    row = np.searchsorted(at, place, side="right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), token, np.int64)), pa.array(doc[row], mask=doc[row] == np.iinfo(np.int64).min), pa.array(place - at[row])], names=["token", "doc_id", "place"])
+
+    return spark.read.parquet(path).select("doc_ids", "lengths", "matrix").mapInArrow(look, "token long, doc_id long, place long")
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """A row per document of a dataset of shards, in no order: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian 32-bit)."""
     common.ship(spark)
     shards = spark.read.parquet(path)
-    parts = shards.groupBy("part").agg(F.sum("n").alias("n"))
-    sizes = {r["part"]: r["n"] for r in parts.collect()}  # a number for each partition of the writer
-    base, done = {}, 0
-    for part in sorted(sizes):
-        base[part], done = done, done + sizes[part]
+    base = _bases(shards)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
