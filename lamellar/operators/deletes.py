@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamellar.errors import InvalidArgument
+
 #: Positions of deletes that are still broadcast; more are joined with a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -42,3 +44,38 @@ def latest(rows: DataFrame, key: list[str], order: list[str], deleted: str | Non
     newest = rows.groupBy(*key).agg(F.max_by(F.struct(*others), rank).alias("__last"))  # combines before the shuffle, so a hot key is no burden
     out = newest.select(*key, "__last.*").select(rows.columns)
     return out.where(~F.coalesce(F.col(deleted), F.lit(False))) if deleted else out
+
+
+#: Functions of the aggregation engine, given a column and the rows' order; last ones are those of the largest order.
+AGGREGATES = {
+    "sum": lambda c, o: F.sum(c),
+    "min": lambda c, o: F.min(c),
+    "max": lambda c, o: F.max(c),
+    "count": lambda c, o: F.count(c),
+    "bool_and": lambda c, o: F.bool_and(c),
+    "bool_or": lambda c, o: F.bool_or(c),
+    "first_value": lambda c, o: F.min_by(c, o),
+    "last_value": lambda c, o: F.max_by(c, o),
+    "last_non_null_value": lambda c, o: F.max_by(c, F.when(c.isNotNull(), o)),
+}
+
+
+def merged(rows: DataFrame, key: list[str], order: list[str], engine: str = "deduplicate", aggregates: dict[str, str] | None = None) -> DataFrame:
+    """Merge on read by a table's engine: of the rows with one key deduplicate keeps the last, first-row the first; partial-update takes each column's last value that isn't null; aggregation each column by its function (the last value that isn't null, where none is named).
+
+    All combine before the shuffle, so a hot key is no burden.
+    """
+    others = [c for c in rows.columns if c not in key]
+    if engine == "deduplicate":
+        return latest(rows, key, order)
+    rank = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in others if c not in order])
+    if engine == "first-row":
+        return rows.groupBy(*key).agg(F.min_by(F.struct(*others), rank).alias("__first")).select(*key, "__first.*").select(rows.columns)
+    if engine not in ("partial-update", "aggregation"):
+        raise InvalidArgument(f"unknown merge engine {engine}")
+    named = (aggregates or {}) if engine == "aggregation" else {}
+    if unknown := [f for f in named.values() if f not in AGGREGATES]:
+        raise InvalidArgument(f"unknown aggregates {unknown}")
+    by = F.struct(*[F.col(c) for c in order])
+    out = rows.groupBy(*key).agg(*[AGGREGATES[named.get(c, "last_non_null_value")](F.col(c), by).alias(c) for c in others])
+    return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in rows.schema.fields])

@@ -34,12 +34,6 @@ def by_indices(columns: list[str], groups: Sequence[Sequence[int]]) -> list[list
     return [[columns[i] for i in g] for g in groups]
 
 
-def wide_alone(columns: list[str], sizes: dict[str, float], most: int, wide: float = 1024) -> list[list[str]]:
-    """Wide columns in groups of their own, the others together, at most so many to a group."""
-    small = [c for c in columns if sizes[c] < wide]
-    return [small[i : i + most] for i in range(0, len(small), most)] + [[c] for c in columns if sizes[c] >= wide]
-
-
 def average_bytes(df: DataFrame, sample_rows: int = 1000) -> dict[str, float]:
     """Average width of each column over a few rows."""
     measured = [f for f in df.schema.fields if type(f.dataType) not in _WIDTH]

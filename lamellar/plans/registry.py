@@ -375,6 +375,27 @@ def _(spark, d):
     return deletes.latest(source(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], ["event_id"])
 
 
+def _split(spark, d, engine: str, aggregates=None):
+    files = [f.path for f in external.explore(spark, files_of(spark, d, "events", "event_id"))]
+    split = external.Split(primary_keys=True, merge_engine=engine, files_overlap=True)
+    return external.read_split(spark, split, files, ["user_id"], ["event_id"], aggregates).select("user_id", "event_id", "value")
+
+
+@query("f19_merge_first_row", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r = 1")
+def _(spark, d):
+    return _split(spark, d, "first-row")
+
+
+@query("f19_merge_partial_update", "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) FILTER (value IS NOT NULL) AS value FROM events GROUP BY user_id")
+def _(spark, d):
+    return _split(spark, d, "partial-update")
+
+
+@query("f19_merge_aggregation", "SELECT user_id, min(event_id) AS event_id, max(value) AS value FROM events GROUP BY user_id")
+def _(spark, d):
+    return _split(spark, d, "aggregation", {"event_id": "min", "value": "max"})
+
+
 @query("f21_explore_dir", "SELECT * FROM supplier")
 def _(spark, d):
     return external_table(spark, d, "supplier", "s_suppkey").scan()

@@ -95,3 +95,61 @@ def live_rows(spark: SparkSession, files: Sequence[DataFile]) -> DataFrame:
         return rows.groupBy(F.col("__file").alias("file_path")).agg(F.count("*").alias("live"))
     own = spark.read.parquet(*gone).select(plain_path(F.col("file_path")).alias("file_path"), "pos")
     return deletes.live_per_file(rows, own).withColumnRenamed("__file", "file_path")
+
+
+@dataclass(frozen=True)
+class Split:
+    """What is known of a split of an external table: it decides whether its files can be read as they are."""
+
+    format: str = "parquet"
+    primary_keys: bool = False
+    merge_engine: str = "none"
+    files_overlap: bool = False
+    level_zero: bool = False
+    partition_keys: bool = False
+    blob_columns: bool = False
+    row_ranges: bool = False
+    schema_changed: bool = False
+    sidecar_files: bool = False
+    deletion_vector_bits: int | None = None
+
+
+#: Reasons against a direct read, in the order in which they are reported.
+RULES = (
+    ("format", lambda s: s.format != "parquet"),
+    ("partition keys are not in the files", lambda s: s.partition_keys),
+    ("blob columns", lambda s: s.blob_columns),
+    ("row ranges", lambda s: s.row_ranges),
+    ("schema changed", lambda s: s.schema_changed),
+    ("sidecar files", lambda s: s.sidecar_files),
+    ("merge engine", lambda s: s.primary_keys and s.merge_engine not in ("none", "deduplicate", "first-row")),
+    ("unmerged level", lambda s: s.primary_keys and s.level_zero),
+    ("overlapping keys", lambda s: s.primary_keys and s.files_overlap),
+    ("deletion vector", lambda s: s.deletion_vector_bits not in (None, 32)),
+)
+
+
+def reasons(split: Split) -> list[str]:
+    """Why the split needs a merge; none if its files can be read directly."""
+    return [name for name, against in RULES if against(split)]
+
+
+#: Reasons that a merge on read answers.
+MERGED = frozenset(("merge engine", "unmerged level", "overlapping keys"))
+
+
+def read_split(spark: SparkSession, split: Split, paths: Sequence[str], key: Sequence[str] = (), order: Sequence[str] = (), aggregates: dict[str, str] | None = None, rows: int | None = None) -> DataFrame:
+    """The rows of a split's files: as they are, or merged by its engine where keys may repeat.
+
+    rows: how many the snapshot declares; another number is an error.  A split
+    that needs more than a merge is not supported.
+    """
+    against = reasons(split)
+    if other := [x for x in against if x not in MERGED]:
+        raise NotSupported(f"the split cannot be read: {', '.join(other)}")
+    out = spark.read.parquet(*paths)
+    if against:
+        out = deletes.merged(out, list(key), list(order), split.merge_engine if split.merge_engine != "none" else "deduplicate", aggregates)
+    if rows is not None and (n := out.count()) != rows:
+        raise InvalidArgument(f"the split has {n} rows, {rows} were declared")
+    return out
