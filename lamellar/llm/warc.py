@@ -8,13 +8,20 @@ task a byte range: it skips to the first magic in its range and owns whatever
 starts inside.  Magic bytes also occur by chance inside compressed data, so a
 candidate counts as a member only if its header decodes to a WARC record, and
 it is joined with the following candidates until its deflate stream ends.
+
+Archives of other writers are read the same way, records of all types.  A name
+that ends in .gz makes Hadoop decompress the file as one stream, which cannot be
+split: such a file is one task's, and its records are told apart by their lengths.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +31,11 @@ from lamellar.llm import common
 
 #: The first bytes of a gzip member (deflate), an empty member, and a record's first bytes.
 MAGIC, EMPTY, FIRST = b"\x1f\x8b\x08", b"\x1f\x8b\x08" + bytes(6) + b"\x03\x03" + bytes(9), b"WARC/1.1\r\n"
+#: How records of any version begin, and what names those of this module.
+BEGIN, OWN = b"WARC/", "<urn:page:"
 LEAST_BYTES, LEVEL = 1000, 1
 
-_RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -74,17 +83,48 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> N
     members.select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).text(path)
 
 
+def _number(record_id: str | None) -> int | None:
+    """The page that a record of this module is of."""
+    name = record_id[len(OWN) : -1] if record_id and record_id.startswith(OWN) else ""
+    return int(name) if re.fullmatch("-?[0-9]+", name) else None
+
+
+def _head(data: bytes) -> tuple[dict[str, str], int] | None:
+    """A record's named fields, in lower case, and where its block starts; None if the head isn't whole."""
+    end = data.find(b"\r\n\r\n")
+    if end < 0:
+        return None
+    lines = re.sub("\r\n[ \t]+", " ", data[:end].decode("utf-8", "replace")).split("\r\n")[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}, end + 4
+
+
 def _parse(data: bytes) -> dict:
-    head, _, rest = data.partition(b"\r\n\r\n")
-    names = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(names["Content-Length"])]
-    page, refers = names["WARC-Record-ID"][10:-1], names.get("WARC-Refers-To")
-    response = names["WARC-Type"] == "response"
-    payload = block.partition(b"\r\n\r\n")[2] if response else None
-    digest = hashlib.sha1(payload).hexdigest() if response else names["WARC-Payload-Digest"].removeprefix("sha1:")
-    if response and f"sha1:{digest}" != names["WARC-Payload-Digest"]:
-        raise ValueError(f"record of page {page}: payload and digest differ")
-    return {"page_id": None if page == "null" else int(page), "url": names.get("WARC-Target-URI"), "payload_bytes": len(payload) if response else int(names["X-Payload-Length"]), "payload_digest": digest, "record_type": names["WARC-Type"], "refers_to": int(refers[10:-1]) if refers else None, "payload": payload}
+    names, start = _head(data) or ({}, len(data))
+    block = data[start : start + int(names.get("content-length", 0))]
+    record, kind, given = names.get("warc-record-id"), names.get("warc-type", ""), names.get("warc-payload-digest", "")
+    http = names.get("content-type", "").startswith("application/http")
+    payload = None if kind == "revisit" else block.partition(b"\r\n\r\n")[2] if http else block
+    digest = given.partition(":")[2] if payload is None else hashlib.sha1(payload).hexdigest()
+    if payload is None and re.fullmatch("[A-Z2-7]{32}", digest):
+        digest = base64.b32decode(digest).hex()
+    if (record or "").startswith(OWN) and payload is not None and f"sha1:{digest}" != given:
+        raise ValueError(f"record {record}: payload and digest differ")
+    length = len(payload) if payload is not None else int(names["x-payload-length"]) if "x-payload-length" in names else None
+    refers = names.get("warc-refers-to")
+    return {"page_id": _number(record), "url": names.get("warc-target-uri"), "payload_bytes": length, "payload_digest": digest or None, "record_type": kind, "refers_to": _number(refers), "record_id": record, "refers_to_id": refers, "payload": payload}
+
+
+def whole_records(pieces: Iterable[bytes]) -> Iterator[dict]:
+    """Records of an archive's plain bytes, cut at each BEGIN: pieces are joined until a record has its length."""
+    held = None
+    for piece in pieces:
+        held = BEGIN + piece if held is None else held + BEGIN + piece
+        head = _head(held)
+        if head and len(held) >= head[1] + int(head[0].get("content-length", 0)):
+            yield _parse(held)
+            held = None
+    if held is not None:
+        raise ValueError("an archive ends within a record")
 
 
 class Members:
@@ -98,10 +138,10 @@ class Members:
         """Whether a candidate's header decodes, to the first bytes of a record or to nothing as in an empty member."""
         out = zlib.decompressobj(31)
         try:
-            head = out.decompress(MAGIC + candidate, len(FIRST))
+            head = out.decompress(MAGIC + candidate, len(BEGIN))
         except zlib.error:
             return False
-        return head == FIRST[: len(head)] if head or not out.eof else True
+        return head == BEGIN[: len(head)] if head or not out.eof else True
 
     def add(self, candidate: bytes) -> tuple[dict | None, bool]:
         """A finished record, and whether the candidate was used: not if it begins no record and none is open."""
@@ -121,10 +161,12 @@ class Members:
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """A row per record of the archives under path: page_id, url, payload_bytes, payload_digest, record_type, refers_to (and payload, null for revisits).
+    """A row per record of the archives under path: page_id, url, payload_bytes, payload_digest, record_type, refers_to, record_id, refers_to_id (and payload, null for revisits).
 
-    Payloads of responses are hashed again and held against their records.  Only a
-    member whose compressed bytes hold a chance magic just where a byte range ends
+    page_id and refers_to are null in records of other writers, and so is the
+    length of a revisited payload that they don't state.  The payload is the body of
+    an HTTP message, else the whole block; its digest is computed, and in records of
+    write_warc() held against theirs.  A broken record is an error.  Only a member whose compressed bytes hold a chance magic just where a byte range ends
     is completed in a second step, by file.
     """
     common.ship(spark)
@@ -173,7 +215,18 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
                 records.append(record)
         return pa.table(table(records), names=names)
 
-    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
-    found = lines.select(F.col("value").cast("binary"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).mapInArrow(split, schema + ", file string, block long, seq long, rest binary")
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = ((file, data) for batch in batches for data, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for _, own in groupby(pieces, key=lambda x: x[0]):
+            for record in whole_records(data for k, (_, data) in enumerate(own) if k):  # nothing stands before the first
+                yield pa.RecordBatch.from_arrays(table([record]), names=names)
+
+    def lines(separator: bytes, which: str) -> DataFrame:
+        return spark.read.option("encoding", "ISO-8859-1").option("lineSep", separator.decode("latin-1")).option("pathGlobFilter", which).text(path)
+
+    members = lines(MAGIC, "{*[^z],*[^g]z,*[^.]gz}")
+    found = members.select(F.col("value").cast("binary"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).mapInArrow(split, schema + ", file string, block long, seq long, rest binary")
     whole = found.where("rest is null").select(names)
-    return whole.unionByName(found.where("rest is not null").select("file", "block", "seq", "rest").groupBy("file").applyInArrow(mend, schema))
+    out = whole.unionByName(found.where("rest is not null").select("file", "block", "seq", "rest").groupBy("file").applyInArrow(mend, schema))
+    streams = lines(BEGIN, "*.gz")
+    return out.unionByName(streams.select(F.col("value").cast("binary"), F.col("_metadata.file_path")).mapInArrow(stream, schema)) if streams.inputFiles() else out

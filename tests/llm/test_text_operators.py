@@ -174,3 +174,31 @@ def test_archives_are_plain_gzip_and_chance_magic_is_no_member(spark):
     warc.write_warc(spark.createDataFrame([(1, "u", "hello")], "page_id long, url string, html string"), path)
     whole = b"".join(gzip.decompress(p.read_bytes()) for p in Path(path.removeprefix("file://")).glob("part-*"))
     assert whole.startswith(b"WARC/1.1") and b"hello" in whole
+
+
+@pytest.mark.parametrize("suffix", [".warc", ".warc.gz"])
+def test_archives_of_other_writers(spark, tmp_path, suffix):
+    import base64
+    import gzip
+
+    html = b"<html>WARC/1.0 and WARC/1.1 " + bytes(range(256)) + warc.MAGIC * 3 + b"\r\n\r\n</html>"
+    digest = "sha1:" + base64.b32encode(hashlib.sha1(html).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + html
+    parts = [
+        ("warcinfo", "application/warc-fields", b"software: other\r\n", []),
+        ("request", "application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", []),
+        ("response", "application/http; msgtype=response", http, [f"WARC-Payload-Digest: {digest}", "warc-target-uri: http://a.example/\r\n  folded"]),
+        ("revisit", "application/http; msgtype=response", b"", [f"WARC-Payload-Digest: {digest}", "WARC-Refers-To: <urn:uuid:2>"]),
+        ("resource", "text/plain", b"plain \x00\xff bytes", []),
+    ]
+    records = []
+    for i, (kind, content, block, more) in enumerate(parts):
+        head = "\r\n".join([f"WARC/1.{i % 2}", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{i}>", "WARC-Date: 2020-01-01T00:00:00Z", f"Content-Type: {content}", *more, f"Content-Length: {len(block)}"])
+        records.append(head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+    for k in range(2):
+        (tmp_path / f"file{k}{suffix}").write_bytes(b"".join(gzip.compress(r) for r in records))
+    got = sorted(((r.record_id, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to_id, None if r.payload is None else bytes(r.payload)) for r in warc.read_warc(spark, str(tmp_path), payloads=True).collect()), key=str)
+    sha = lambda b: hashlib.sha1(b).hexdigest()
+    info, rest = parts[0][2], parts[4][2]
+    want = [("<urn:uuid:0>", "warcinfo", len(info), sha(info), None, info), ("<urn:uuid:1>", "request", 0, sha(b""), None, b""), ("<urn:uuid:2>", "response", len(html), sha(html), None, html), ("<urn:uuid:3>", "revisit", None, sha(html), "<urn:uuid:2>", None), ("<urn:uuid:4>", "resource", len(rest), sha(rest), None, rest)]
+    assert got == sorted(want * 2, key=str)
