@@ -8,13 +8,13 @@ hashed into slices, and in each slice a document belongs to the cell of its own
 content, at distance 0.  Linked documents differ in at most a known number k of
 shingles for their sizes; with more than k non-empty slices they share a cell.
 
-Within a cell the method is that of pivots.  A cell's first document is its pivot;
-distances to it are exact.  Documents within the threshold r are linked to it and
-so to each other.  By the triangle inequality the rest can link to these only
-within 2r of the pivot: that boundary is joined with the pivot's region again, and
-what lies further only among itself.  The second join of a cell compares
-documents of different components alone, drops pairs by size and by a bound from
-sketches, and cells that are too large are parted by further slices first.
+A cell's first document is its pivot, and its region are the documents of all its
+cells; distances to it are exact.  Documents within the threshold r are linked to
+it and so to each other.  By the triangle inequality those can link only to
+documents within 2r of the pivot: that boundary is joined with them again, and
+what lies further only with the boundary and among itself.  A region is joined by
+sizes and by a bound from sketches; one that is too large is parted by further
+slices, and joined by blocks if that does not help.  A cell of two needs no join.
 No link between different texts is lost; links inside a component are not listed.
 """
 
@@ -34,13 +34,11 @@ from lamellar.llm.substrings import _planes, _values
 SHINGLE = 5
 #: Text bytes in a part: its sets and cells take some twenty times that in memory.
 PART_BYTES = 12 << 20
-#: The link threshold as a share; least bits of a sketch, as a power of two; documents of one cell outside its largest component that are compared at once; rounds before that limit is lifted.
+#: The link threshold as a share; least bits of a sketch, as a power of two; times that a region is parted before blocks of it are compared by pairs.
 NUMERATOR, DENOMINATOR = 4, 5
-LEAST_BITS, CELL_ROWS, ROUNDS = 6, 2048, 2
-#: Documents of one cell that are compared pair by pair without looking for its largest component.
-FEW = 32
-#: Documents whose cells make one bucket in the second join; shingles whose cells are found together.
-BUCKET_DOCS, CELL_SHINGLES = 2000, 1 << 17
+LEAST_BITS, ROUNDS = 6, 2
+#: Documents of regions that one task compares; pairs of them, and shingles whose cells are found, at once.
+REGION_ROWS, PAIRS, CELL_SHINGLES = 20_000, 1 << 17, 1 << 17
 
 
 class Levels:
@@ -306,102 +304,77 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _spreader(size: int, turn: int):
-    """Sets with their components (node, set, root, cell), dealt to the buckets of their cells."""
+def _parter(turn: int):
+    """Sets (region, node, root, size, band, set), each with its cells within its region: region (now the cell), node, root, size, band."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 rows = batch.slice(low, 1000)
-                own = [np.frombuffer(x.as_buffer(), "<u8") for x in rows.column(1)]
-                salt = None if turn == 0 else rows.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
-                name, doc = cells(own, salt, turn)
-                bucket = _bucket(name, size)
-                order = np.argsort(bucket, kind="stable")
-                bounds = np.searchsorted(bucket[order], np.arange(size + 1))
-                node, root = rows.column(0).to_numpy(), rows.column(2).to_numpy()
-                sizes, sketches = np.array([len(x) for x in own], "<i8"), [sketch(x) for x in own]
-                for k in np.flatnonzero(np.diff(bounds)).tolist():
-                    some = order[bounds[k] : bounds[k + 1]]
-                    docs, place = np.unique(doc[some], return_inverse=True)
-                    values = [k, name[some].tobytes(), place.astype("<u4").tobytes(), node[docs].tobytes(), root[docs].tobytes(), sizes[docs].tobytes(), np.array([len(sketches[d]) for d in docs.tolist()], "<i4").tobytes(), b"".join([sketches[d].tobytes() for d in docs.tolist()])]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32() if i == 0 else pa.binary()) for i, v in enumerate(values)], names=["bucket", "cells", "docs", "nodes", "roots", "sizes", "lengths", "sketches"])
-
-    return spread
-
-
-def _comparer(cell_rows: int, last: bool):
-    """Pairs of a bucket's cells that sizes and sketches leave possible; and (node, cell) of cells to be parted."""
-
-    def compare(rows: pa.Table) -> pa.Table:
-        col = lambda n, kind: [np.frombuffer(x.as_py(), kind) for x in rows.column(n)]
-        nodes, places = col("nodes", "<i8"), col("docs", "<u4")
-        base = np.cumsum([0, *(len(x) for x in nodes)])
-        doc = np.concatenate([p.astype(np.int64) + b for p, b in zip(places, base[:-1], strict=True)])
-        node, root, sizes = np.concatenate(nodes), np.concatenate(col("roots", "<i8")), np.concatenate(col("sizes", "<i8"))
-        sketches = Sketches([part for x, n in zip(col("sketches", np.uint8), col("lengths", "<i4"), strict=True) for part in np.split(x, np.cumsum(n)[:-1])])
-        name = np.concatenate(col("cells", np.uint64))
-        order = np.lexsort((sizes[doc], name))
-        name, doc = name[order], doc[order]
-        start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-        n = np.diff(np.append(start, len(name)))
-        group = np.repeat(np.arange(len(start)), n)
-        mixed = np.maximum.reduceat(root[doc], start) != np.minimum.reduceat(root[doc], start)
-        large, seen = np.zeros(len(start), bool), [np.zeros((0, 2), np.int64)]
-
-        def keep(a: np.ndarray, b: np.ndarray) -> None:
-            """Documents a and b, not larger and larger, that can be linked."""
-            fits = (sizes[b] * NUMERATOR <= sizes[a] * DENOMINATOR) & (root[a] != root[b])
+                name, doc = cells([np.frombuffer(x.as_buffer(), "<u8") for x in rows.column(5)], rows.column(0).to_numpy().view(np.uint64), turn)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), *(rows.column(k).take(pa.array(doc)) for k in range(1, 5))], names=["region", "node", "root", "size", "band"])
+
+    return part
+
+
+def _comparer(rows: pa.Table) -> pa.Table:
+    """Pairs of documents in a region that are of different components and that bands, sizes and sketches leave possible."""
+    node, first, doc = np.unique(rows.column("node").to_numpy(), return_index=True, return_inverse=True)
+    root, sizes = rows.column("root").to_numpy()[first], rows.column("size").to_numpy()[first]
+    sketches = Sketches([np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("sketch").take(pa.array(first))])
+    name, band = rows.column("region").to_numpy(), rows.column("band").to_numpy()
+    order = np.lexsort((sizes[doc], name))
+    name, doc, band = name[order], doc[order], band[order]
+    rank = np.cumsum(np.concatenate([np.zeros(min(1, len(name)), np.int64), name[1:] != name[:-1]])) << 32
+    # Of its region, a document meets those that are not smaller and not too large: a run of the rows after its own.
+    reach = np.searchsorted(rank | sizes[doc], rank | sizes[doc] * DENOMINATOR // NUMERATOR, side="right")
+    meets, seen, low = reach - np.arange(len(name)) - 1, [np.zeros((0, 2), np.int64)], 0
+    upto = np.concatenate([[0], np.cumsum(meets)])
+    while low < len(name):  # some hundred thousand pairs at once
+        high = max(low + 1, int(np.searchsorted(upto, upto[low] + PAIRS, side="right")) - 1)
+        for start in range(0, int(upto[high] - upto[low]), PAIRS):
+            k = np.arange(start, min(start + PAIRS, int(upto[high] - upto[low]))) + upto[low]
+            x = np.searchsorted(upto, k, side="right") - 1
+            y = x + 1 + k - upto[x]
+            a, b = doc[x], doc[y]
+            # Within the threshold of the pivot on one side, beyond twice that on the other: too far apart.
+            fits = (root[a] != root[b]) & (np.abs(band[x] - band[y]) < 2)
             a, b = a[fits], b[fits]
             close = sketches.apart(a, b) * (DENOMINATOR + NUMERATOR) <= (sizes[a] + sizes[b]) * (DENOMINATOR - NUMERATOR)
             seen.append(np.stack([node[a[close]], node[b[close]]], axis=1))
+        low = high
+    pairs = np.unique(np.sort(np.concatenate(seen), axis=1), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
 
-        for k in np.flatnonzero(mixed & (n > FEW)).tolist():
-            own = doc[start[k] : start[k] + n[k]]  # by size
-            _, place, count = np.unique(root[own], return_inverse=True, return_counts=True)
-            others = np.flatnonzero(place != count.argmax())
-            if len(others) > cell_rows and not last:
-                large[k] = True
-                continue
-            for i in others.tolist():  # against all larger ones, and smaller ones of the largest component
-                stop = int(np.searchsorted(sizes[own], sizes[own[i]] * DENOMINATOR // NUMERATOR, side="right"))
-                keep(np.full(max(stop - i - 1, 0), own[i]), own[i + 1 : stop])
-                low = own[int(np.searchsorted(sizes[own], sizes[own[i]] * NUMERATOR // DENOMINATOR)) : i]
-                low = low[root[low] == root[own[place == count.argmax()][0]]]
-                keep(low, np.full(len(low), own[i]))
-        group = np.repeat(np.arange(len(start)), n)
-        parted, end, step = large[group], np.append(start[1:], len(name))[group], 1
-        use = np.flatnonzero((mixed & (n <= FEW))[group])
-        while len(use):
-            use = use[use + step < end[use]]
-            keep(doc[use], doc[use + step])
-            step += 1
-        pairs = np.unique(np.sort(np.concatenate(seen), axis=1), axis=0)
-        more = np.unique(np.stack([node[doc[parted]], name[parted].view(np.int64)], axis=1), axis=0) if parted.any() else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(np.concatenate([pairs[:, 0], more[:, 0]])), "b": pa.array(np.concatenate([pairs[:, 1], more[:, 1]])), "again": pa.array(np.arange(len(pairs) + len(more)) >= len(pairs))})
-
-    return compare
-
-
-def _second(sets: DataFrame, cell_rows: int) -> DataFrame:
-    """Candidate pairs (a, b) of the sets (node, set, root) that share a cell and are of different components."""
-    size = max(1, -(-sets.count() // BUCKET_DOCS))
-    state, found = sets.withColumn("cell", F.lit(None).cast("long")), None
-    schema = "bucket int, cells binary, docs binary, nodes binary, roots binary, sizes binary, lengths binary, sketches binary"
-
-    for turn in range(ROUNDS):
-        last = turn == ROUNDS - 1
-        dealt = state.select("node", "set", "root", "cell").mapInArrow(_spreader(size, turn), schema).repartitionById(size, F.col("bucket"))
-        out = common.settled(dealt.groupBy("bucket").applyInArrow(_comparer(cell_rows, last), "a long, b long, again boolean"))
-        pairs, again = out.where("not again").select("a", "b"), out.where("again").select(F.col("a").alias("node"), F.col("b").alias("cell"))
+def _second(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) among members (region, node, root, size, band) of a region that are of different components.
+
+    No task gets a whole region of very many documents: it is parted by slices of
+    its own, and what is as large after that is compared by pairs of blocks.
+    """
+    found = None
+    for turn in range(1, ROUNDS + 1):
+        mixed = members.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high").select("region", F.ceil(F.col("n") / REGION_ROWS).cast("int").alias("blocks"))
+        few = common.settled(members.join(mixed, "region"))
+        if turn == ROUNDS:
+            paired = few.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            part = F.when(F.col("blocks") == 1, F.col("region")).otherwise(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")))
+            near = paired.select(part.alias("region"), "node", "root", "size", "band")
+        else:
+            near = few.where("blocks = 1").drop("blocks")
+        buckets = max(1, -(-near.count() // REGION_ROWS))
+        dealt = near.join(sets.select("node", "sketch"), "node").withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(buckets)).cast("int")).repartitionById(buckets, F.col("bucket"))
+        pairs = common.settled(dealt.groupBy("bucket").applyInArrow(_comparer, "a long, b long"))
         found = pairs if found is None else found.unionByName(pairs)
-        if last or not again.take(1):
+        large = few.where("blocks > 1").drop("blocks")
+        if turn == ROUNDS or not large.take(1):
             break
-        state = again.join(sets, "node").select("node", "set", "root", "cell")
+        members = large.join(sets.select("node", "set"), "node").select("region", "node", "root", "size", "band", "set").mapInArrow(_parter(turn), "region long, node long, root long, size long, band int")
     return found.distinct()
 
 
-def linked(docs: DataFrame, part_bytes: int = PART_BYTES, cell_rows: int = CELL_ROWS) -> DataFrame:
+def linked(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """A row per document: doc_id, n_shingles, node (its set's name, null if it has no shingles), root (the name of its component, or null) and key (xxhash64 of its text).
 
     What jaccard_components() says of links and odd rows holds here too.
@@ -421,19 +394,19 @@ def linked(docs: DataFrame, part_bytes: int = PART_BYTES, cell_rows: int = CELL_
     common.release(spark)
     roots = components(first.where(_LINKED).select("a", "b"))
 
-    # What the pivots leave open: documents off a pivot, and all around a pivot that has others on its boundary.
-    off = first.where(f"open and not ({_LINKED})")
-    edge = off.where(_NEAR).select(F.col("a").alias("p")).distinct()
-    around = first.where(_LINKED).join(edge, F.col("a") == F.col("p"), "left_semi").select(F.col("b").alias("node"))
-    open_ = off.select(F.col("b").alias("node")).unionByName(around).distinct()
-    chosen = shared.select("uid", "node").join(open_, "node", "left_semi").groupBy("node").agg(F.min("uid").alias("uid"))
-    chosen = chosen.join(roots, "node", "left").select("uid", "node", F.coalesce("root", "node").alias("root"))
-    sets = common.settled(shared.select("uid", "set").join(chosen, "uid").select("node", "set", "root"))
-    del every, shared, first, off, edge, around, open_, chosen
+    # What a pivot leaves open in its region: documents off it, and those at it if others lie on its boundary.
+    off = first.where(f"open and not ({_LINKED})").select(F.col("a").alias("region"), F.col("b").alias("node"), F.when(F.expr(_NEAR), 1).otherwise(2).alias("band"))
+    edge = off.where("band = 1").select("region").distinct()
+    at = first.where(f"open and {_LINKED}").select(F.col("a").alias("region"), F.col("b").alias("node"), F.lit(0).alias("band")).join(edge, "region", "left_semi")
+    members = off.unionByName(at)
+    chosen = shared.select("uid", "node").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("uid").alias("uid")).join(roots, "node", "left").select("uid", "node", F.coalesce("root", "node").alias("root"))
+    sets = common.settled(shared.select("uid", F.col("n_shingles").alias("size"), "set", "sketch").join(chosen, "uid").drop("uid"))
+    members = common.settled(members.join(sets.select("node", "root", "size"), "node").select("region", "node", "root", "size", "band"))
+    del every, shared, first, off, edge, at, chosen
     common.release(spark)
-    pairs = _second(sets, cell_rows).select("a", "b", F.col("a").alias("ka"), F.col("b").alias("kb"))
+    pairs = _second(members, sets).select("a", "b", F.col("a").alias("ka"), F.col("b").alias("kb"))
     second = common.settled(_verified(pairs, sets.select(F.col("node").alias("key"), "set")).where(_LINKED).select("a", "b"))
-    del sets, pairs
+    del sets, pairs, members
     if second.take(1):
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
     out = common.settled(narrow.join(roots, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root"), "key"))
@@ -441,7 +414,7 @@ def linked(docs: DataFrame, part_bytes: int = PART_BYTES, cell_rows: int = CELL_
     return out
 
 
-def jaccard_components(docs: DataFrame, part_bytes: int = PART_BYTES, cell_rows: int = CELL_ROWS) -> DataFrame:
+def jaccard_components(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (least doc_id that links reach, itself included).
 
     Two documents link if 100 times the common shingles is at least 80 times all of
@@ -453,6 +426,6 @@ def jaccard_components(docs: DataFrame, part_bytes: int = PART_BYTES, cell_rows:
     gives no rows.  Shingles are named by hashes modulo 2**61 - 1 at a random base,
     and sets by 64 bits mixed from those.
     """
-    rooted = linked(docs, part_bytes, cell_rows)
+    rooted = linked(docs, part_bytes)
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("root", "least")
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.coalesce("least", "doc_id")).alias("component_id"))

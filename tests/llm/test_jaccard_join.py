@@ -62,8 +62,9 @@ def near_copies(n, seed, words=60, edits=6):
 ODD = [(None, "no id at all here"), (1, None), (2, ""), (3, " \n"), (4, "a b c"), (5, "A B c"), (6, "a b d"), (7, "x " * 300), (8, "x " * 9), (9, "one two three four five six seven eight nine"), (9, "one two three four five six seven eight nine ten")]
 
 
-@pytest.mark.parametrize("part_bytes, cell_rows", [(20 << 20, 2048), (15_000, 2048), (60_000, 40)])
-def test_components(spark, sf, part_bytes, cell_rows):
+@pytest.mark.parametrize("part_bytes, region_rows", [(20 << 20, 20_000), (15_000, 20_000), (60_000, 60)])
+def test_components(spark, sf, monkeypatch, part_bytes, region_rows):
+    monkeypatch.setattr(J, "REGION_ROWS", region_rows)
     r = random.Random(9)
     stock = " ".join(f"stock{i}" for i in range(12))
     copies = [t for k in range(4) for t in near_copies(60, k, words=40 + 90 * k, edits=3 + 4 * k)]
@@ -71,7 +72,7 @@ def test_components(spark, sf, part_bytes, cell_rows):
     chain = [" ".join(f"c{j}" for j in range(i * 4, i * 4 + 80)) for i in range(12)]
     rows = ODD + [(100 + i, t) for i, t in enumerate(copies + filler + chain + copies[:20])]
     docs = spark.read.parquet(f"{sf}/documents.parquet").select((F.col("doc_id") + 10_000).alias("doc_id"), "text", F.lit(1).alias("part")).unionByName(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, part int"))
-    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in J.jaccard_components(docs, part_bytes, cell_rows).collect()), key=str)
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in J.jaccard_components(docs, part_bytes).collect()), key=str)
     assert got == brute([(x.doc_id, x.text) for x in docs.collect()])
 
 
@@ -92,3 +93,26 @@ def test_linked_sets_share_a_cell():
             assert np.intersect1d(name[own == 0], name[own == 1]).size
             apart = J.Sketches([J.sketch(a), J.sketch(b)]).apart(np.array([0, 1]), np.array([1, 0]))
             assert (apart <= len(a) + len(b) - 2 * common).all()
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 17])
+def test_regions_are_compared_whole(monkeypatch, pairs):
+    import pyarrow as pa
+
+    monkeypatch.setattr(J, "PAIRS", pairs)
+    r = np.random.default_rng(2)
+    sets = []
+    for k in range(40):
+        base = r.integers(0, 2**61, int(r.integers(5, 60))).astype(np.uint64)
+        sets += [np.unique(np.concatenate([base[: len(base) - int(r.integers(0, 4))], r.integers(0, 2**61, int(r.integers(0, 4))).astype(np.uint64)])) for _ in range(3)]
+    rows = [(k % 3, i, int(r.integers(0, 30)), len(x), int(r.integers(0, 3)), J.sketch(x).tobytes()) for k in range(3) for i, x in enumerate(sets)]
+    rows = [(g, i, i % 50, n, b, s) for g, i, _, n, b, s in rows if (i + g) % 4]
+    out = J._comparer(pa.table({n: pa.array([x[k] for x in rows], pa.binary() if n == "sketch" else pa.int64()) for k, n in enumerate(("region", "node", "root", "size", "band", "sketch"))}))
+    got = set(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True))
+    for g, i, ri, _, bi, _ in rows:
+        for h, j, rj, _, bj, _ in rows:
+            if g == h and i < j and ri != rj and abs(bi - bj) < 2:
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both * 5 >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                    assert (i, j) in got
+    assert got and all(i < j for i, j in got)
