@@ -198,7 +198,7 @@ def _(spark, d):
 @query("s20_take_projected", "SELECT o_totalprice, o_orderkey FROM orders WHERE o_orderkey % 5 = 0")
 def _(spark, d):
     t = table(spark, d, "orders", ORDERS)
-    return t.take(range(0, t.count(), 5), ["o_totalprice", "o_orderkey"])
+    return t.take(spark.range(0, t.count(), 5), ["o_totalprice", "o_orderkey"])
 
 
 @query("s13_chunk", "SELECT * FROM events WHERE event_id >= 256 AND event_id < 512")
@@ -242,7 +242,7 @@ def _(spark, d):
 def _(spark, d):
     schema = T.StructType([*source(spark, d, "orders").schema.fields, T.StructField("phantom", T.StringType())])
     t = table(spark, d, "orders", ORDERS, schema=schema)
-    return t.take(range(0, t.count(), 5), ["o_orderkey", "phantom"])
+    return t.take(spark.range(0, t.count(), 5), ["o_orderkey", "phantom"])
 
 
 @query("s26_row_range", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= (SELECT count(*) // 3 FROM orders) AND o_orderkey < (SELECT count(*) // 2 FROM orders)")

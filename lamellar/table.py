@@ -24,6 +24,8 @@ from lamellar.sources.writer import RANGE, ROW
 BLOCK_ROWS = 32_768
 #: Ranges, and rows, that are listed in a filter; more are found by bounds, or by a join.
 LISTED, LISTED_ROWS = 1000, 50
+#: Rows of a request that one task sorts.
+SORTED_ROWS = 10_000
 
 
 class Table:
@@ -31,6 +33,7 @@ class Table:
 
     def __init__(self, spark: SparkSession, manifest: Manifest, schema: T.StructType | None = None, properties: Properties | None = None):
         self.spark, self.manifest, self.properties = spark, manifest, properties or Properties()
+        self._frames: dict[tuple, DataFrame] = {}
         self.schema = schema or T.StructType([f for f in manifest.struct.fields if f.name in manifest.columns])
         if len({g.rows for g in manifest.groups}) > 1:
             raise InvalidArgument("column groups differ in their number of rows")
@@ -61,24 +64,26 @@ class Table:
         """
         f = group.fragments[k]
         types = {x.name: x for x in self.manifest.struct.fields}
-        kept = T.StructType([types[c] for c in columns])
         if not f.buckets:
-            return self._external(f, kept, base, low, high, numbered)
+            return self._external(f, T.StructType([types[c] for c in columns]), base, low, high, numbered)
         shift = base - f.start
         first = max(f.start, f.start if low is None else low - shift)
         last = min(f.end, f.end if high is None else high - shift)
-        inner = T.StructType([*kept.fields, T.StructField(RANGE, T.IntegerType()), T.StructField(ROW, T.LongType())])
         runs = [(first, last)] if only is None else [(max(first, a - shift), min(last, b - shift)) for a, b in only]
         asked = {i for a, b in runs if a < b for i in range(a // f.span, -(-b // f.span))}
         listed = len(asked) <= LISTED and len(asked) * f.span < f.total
-        rows = self._bucketed(f, inner) if glued or listed else self.spark.read.schema(inner).parquet(f.path)
+        key = (f.path, group.columns, glued or listed)
+        if key not in self._frames:  # files never change: they are listed once for a table
+            inner = T.StructType([*(types[c] for c in group.columns), T.StructField(RANGE, T.IntegerType()), T.StructField(ROW, T.LongType())])
+            self._frames[key] = self._bucketed(f, inner) if glued or listed else self.spark.read.schema(inner).parquet(f.path)
+        rows = self._frames[key]
         if listed:
             rows = rows.where(F.col(RANGE).isin(sorted(asked)))  # so other files aren't opened
         if first > 0 or last < f.total:
             rows = rows.where((F.col(ROW) >= first) & (F.col(ROW) < last))
         if only is not None and len(only) <= LISTED_ROWS and all(b - a == 1 for a, b in only):
             rows = rows.where(F.col(ROW).isin([a for a, b in runs if a < b]))  # reaches Parquet's statistics
-        return rows if glued else rows.drop(RANGE)
+        return rows.select(*[F.col(f"`{c}`") for c in columns], *([RANGE] if glued else []), ROW)
 
     def _bucketed(self, f: Fragment, inner: T.StructType) -> DataFrame:
         for name in ("spark.sql.legacy.bucketedTableScan.outputOrdering", "spark.sql.requireAllClusterKeysForCoPartition"):
@@ -191,12 +196,9 @@ class Table:
             out = self.rows(columns, numbered=ordered)
         else:
             parsed = P.parse(self.spark, predicate, self.schema, best_effort)
-            every = self.rows([*columns, *[c for c in self.schema.fieldNames() if c not in columns]], numbered=ordered)
-            out = every if parsed.text is None else every.where(parsed.column)  # Catalyst prunes columns; groups without any are pruned here
-            needed = _references(out, self.schema.fieldNames(), parsed.text)
-            if set(needed) | set(columns) != set(self.schema.fieldNames()):
-                narrow = self.rows([*columns, *[c for c in needed if c not in columns]], numbered=ordered)
-                out = narrow if parsed.text is None else narrow.where(parsed.column)
+            needed = _references(self.spark, self.schema.fieldNames(), parsed.text)  # groups without any are not read
+            out = self.rows([*columns, *[c for c in needed if c not in columns]], numbered=ordered)
+            out = out if parsed.text is None else out.where(parsed.column)
         return (out.orderBy(ROW) if ordered else out).select(columns)
 
     def view(self, name: str) -> DataFrame:
@@ -211,10 +213,19 @@ class Table:
 
     # Random access
 
-    def take(self, rows: Sequence[int], columns: Sequence[str] | None = None) -> DataFrame:
-        """The rows with the given numbers, strictly rising, in that order; no predicate applies."""
+    def take(self, rows: Sequence[int] | DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+        """The rows with the given numbers, strictly rising, in that order; no predicate applies.
+
+        Many numbers can be given as a DataFrame with one column and never pass the
+        driver: then they may come in any order and repeatedly, null and unknown
+        ones give no row.
+        """
         faults.hit("take")
-        columns, rows = self._columns(columns), [int(r) for r in rows]
+        columns = self._columns(columns)
+        if isinstance(rows, DataFrame):
+            wanted = rows.select(F.col(rows.columns[0]).cast("long").alias(ROW)).distinct()
+            return self.rows(columns).join(wanted, ROW, "left_semi").orderBy(ROW).select(columns)
+        rows = [int(r) for r in rows]
         if any(b <= a for a, b in zip(rows, rows[1:])):
             raise InvalidArgument("row numbers must rise")
         if rows and (rows[0] < 0 or rows[-1] >= self.manifest.rows):
@@ -227,7 +238,8 @@ class Table:
         else:
             wanted = self.spark.createDataFrame([(r,) for r in rows], f"{ROW} long")
             found = near.join(F.broadcast(wanted) if len(rows) <= self.properties["reader.take.broadcast_rows"] else wanted, ROW, "left_semi")
-        return found.orderBy(ROW).select(columns)
+        # A few rows are sorted by one task, without a job that samples them first.
+        return (found.repartition(1).sortWithinPartitions(ROW) if len(rows) <= SORTED_ROWS else found.orderBy(ROW)).select(columns)
 
     # Chunks
 
@@ -235,11 +247,11 @@ class Table:
         return Chunks(self, group, columns)
 
 
-def _references(df: DataFrame, names: list[str], text: str | None) -> list[str]:
+def _references(spark: SparkSession, names: list[str], text: str | None) -> list[str]:
     """Columns that an expression uses, as Spark's parser sees them."""
     if text is None:
         return []
-    tree = df.sparkSession._jsparkSession.sessionState().sqlParser().parseExpression(text)
+    tree = spark._jsparkSession.sessionState().sqlParser().parseExpression(text)
     found: list[str] = []
 
     def walk(e) -> None:

@@ -47,3 +47,14 @@ def test_entry_without_the_optional_subpackage(tmp_path):
     assert not (tmp_path / "lamellar" / "llm").exists()
     code = "import bench, __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert len(q) > 50 and set(o) <= set(q) and not any(k.startswith('op') or k == 'pipeline' for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_other_tests_run_without_the_optional_subpackage(tmp_path):
+    root = Path(__file__).resolve().parents[1]
+    for name in ("lamellar", "tests"):
+        shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "bench.py"):
+        shutil.copy(root / name, tmp_path / name)
+    run = lambda *more: subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *more], cwd=tmp_path, check=True, capture_output=True, text=True).stdout
+    assert "error" not in run("--collect-only", "tests").lower().splitlines()[-1]
+    assert "passed" in run("tests/test_table.py", "-k", "test_groups or test_references or test_paths or test_layout_of_fragments")

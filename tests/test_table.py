@@ -115,6 +115,8 @@ def test_projection_errors_and_empty(spark, people_table, people):
 def test_take(people_table):
     assert [tuple(r) for r in people_table.take([0, 10, 99], ["name", "age"]).collect()] == [("name_0", 0), ("name_10", 10), ("name_99", 99)]
     assert people_table.take([]).count() == 0
+    many = people_table.spark.createDataFrame([(99,), (10,), (10,), (None,), (500,)], "n int")
+    assert [r.age for r in people_table.take(many, ["age"]).collect()] == [10, 99]
     for bad in ([2, 1], [1, 1], [-1], [100]):
         with pytest.raises(InvalidArgument):
             people_table.take(bad)
