@@ -19,7 +19,7 @@ class Fragment:
     """Rows [start, end) of a folder or file; row is their stored ordinal, or their position in an external file.
 
     buckets: into how many parts the folder is dealt by ranges of span ordinals; 0
-    for external files.  total: rows written to the folder.  deletes: a table of (file_path, pos) or a vector of positions, if any.
+    for external files.  total: rows written to the folder.  deletes: a table of (file_path, pos), or (vector) of positions, if any.
     """
 
     path: str
@@ -30,6 +30,7 @@ class Fragment:
     span: int = 0
     deletes: str | None = None
     live: int | None = None
+    vector: bool = False
 
     @property
     def rows(self) -> int:

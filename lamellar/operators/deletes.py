@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamellar.errors import InvalidArgument
+from lamellar.manifest import Fragment
+from lamellar.sources.store import normal, plain_path
 
 #: Positions of deletes that are still broadcast; more are joined with a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -16,6 +20,19 @@ def distinct_positions(deletes: DataFrame) -> DataFrame:
     return deletes.select("file_path", F.col("pos").cast("long").alias("pos")).where("pos is not null").distinct()
 
 
+def of_files(spark: SparkSession, fragments: Sequence[Fragment]) -> DataFrame | None:
+    """(file_path, pos) of all deletes of external fragments, in one read for each kind; None if there are none."""
+    tables = sorted({f.deletes for f in fragments if f.deletes and not f.vector})
+    vectors = {normal(f.deletes): normal(f.path) for f in fragments if f.deletes and f.vector}
+    out = spark.read.parquet(*tables).select(plain_path(F.col("file_path")).alias("file_path"), F.col("pos").cast("long").alias("pos")) if tables else None
+    if vectors:
+        file = plain_path(F.col("_metadata.file_path"))
+        own = spark.read.parquet(*sorted({f.deletes for f in fragments if f.deletes and f.vector})).select(F.col("pos").cast("long").alias("pos"), F.explode(F.array(file, F.regexp_replace(file, "/[^/]*$", ""))).alias("__vector"))  # a vector is a file or a folder
+        named = own.join(F.broadcast(spark.createDataFrame(sorted(vectors.items()), "__vector string, file_path string")), "__vector").select("file_path", "pos")
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
 def without_positions(rows: DataFrame, deletes: DataFrame, file: str = "__file", place: str = "__pos", small: bool | None = None) -> DataFrame:
     """rows whose (file, position) is in no delete; small: whether deletes may be broadcast, else their count is checked."""
     own = distinct_positions(deletes)

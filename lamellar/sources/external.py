@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ def explore(spark: SparkSession, folder: str, format: str = "parquet") -> list[F
     store = Store(spark, folder)
     paths = [f"{folder.rstrip('/')}/{n}" for n in store.names("") if not n.startswith(("_", ".")) and n.endswith(".parquet")]
     n = row_counts(spark, paths)
-    return [Fragment(p, 0, n[p]) for p in paths if n[p]]
+    return [Fragment(p, 0, n[p], total=n[p]) for p in paths if n[p]]
 
 
 def plan(spark: SparkSession, files: Sequence[DataFile], properties: Properties | None = None, pinned: bool = True) -> list[Fragment]:
@@ -60,20 +60,18 @@ def plan(spark: SparkSession, files: Sequence[DataFile], properties: Properties
         raise NotSupported("files that need a merge have no positions; use deletes.latest()")
     if any(kind == "equality" for f in files for kind, _ in f.deletes):
         raise NotSupported("equality deletes are not supported")
+    known = {f.path: [x for x in f.deletes if x[0] in ("positional", "vector")] for f in files}
+    if any(len(x) > 1 for x in known.values()):
+        raise NotSupported("several delete files for one data file; merge them first")
     n = row_counts(spark, [f.path for f in files])
-    out = []
-    for f in files:
-        known = [p for kind, p in f.deletes if kind in ("positional", "vector")]
-        if len(known) > 1:
-            raise NotSupported("several delete files for one data file; merge them first")
-        live = None
-        if known:
-            own = spark.read.parquet(known[0])
-            own = own.where(plain_path(F.col("file_path")) == normal(f.path)) if "file_path" in own.columns else own
-            live = n[f.path] - own.select(F.col("pos").cast("long").alias("pos")).where(F.col("pos").between(0, n[f.path] - 1)).distinct().count()
-        if live is None or live:
-            out.append(Fragment(f.path, 0, n[f.path], deletes=known[0] if known else None, live=live))
-    return out
+    whole = [Fragment(f.path, 0, n[f.path], total=n[f.path], deletes=known[f.path][0][1] if known[f.path] else None, vector=bool(known[f.path]) and known[f.path][0][0] == "vector") for f in files]
+    gone = deletes.of_files(spark, whole)
+    less: dict[str, int] = {}
+    if gone is not None:  # a number for each file
+        sizes = spark.createDataFrame([(normal(p), k) for p, k in n.items()], "file_path string, n long")
+        less = {r["file_path"]: r["k"] for r in deletes.distinct_positions(gone).join(F.broadcast(sizes), "file_path").where("pos >= 0 and pos < n").groupBy("file_path").agg(F.count("*").alias("k")).collect()}
+    live = [replace(f, live=f.end - less.get(normal(f.path), 0)) if f.deletes else f for f in whole]
+    return [f for f in live if f.rows]
 
 
 def register(spark: SparkSession, root: str, fragments: Sequence[Fragment], columns: Sequence[str] | None = None) -> int:

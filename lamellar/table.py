@@ -114,6 +114,16 @@ class Table:
             out = out if bound is None else out.where(keep)
         return out.withColumn(ROW, F.col(ROW) - base + f.start)
 
+    def _external_files(self, fragments: Sequence[Fragment], columns: list[str]) -> DataFrame:
+        """Given columns of whole external files, less what is deleted; ROW is NULL."""
+        types = {x.name: x for x in self.manifest.struct.fields}
+        kept = T.StructType([types[c] for c in columns])
+        rows = self.spark.read.schema(kept).parquet(*[f.path for f in fragments])
+        gone = deletes.of_files(self.spark, fragments)
+        if gone is not None:
+            rows = deletes.without_positions(rows.select("*", plain_path(F.col("_metadata.file_path")).alias("__file"), F.col("_metadata.row_index").alias("__pos")), gone).drop("__file", "__pos")
+        return rows.withColumn(ROW, F.lit(None).cast("long"))
+
     def _living(self, rows: DataFrame, gone: DataFrame, f: Fragment, low: int | None, high: int | None) -> DataFrame:
         """rows of one file that live, with ROW, their ordinal among them; low and high, ordinals too, leave out blocks of positions outside."""
         block = lambda pos: F.floor((pos - f.start) / BLOCK_ROWS)
@@ -152,8 +162,16 @@ class Table:
         bounded = low is not None or high is not None
         aligned = len({tuple(f.rows for f in g.fragments) for g in groups}) == 1
         if aligned:
-            base = 0
+            base, together = 0, {}
+            if len(groups) == 1 and not numbered and not bounded:  # whole external files in one scan
+                for k, f in enumerate(groups[0].fragments):
+                    if not f.buckets and f.start == 0 and f.end == f.total:
+                        together.setdefault(f.path, k)
+                parts += [self._external_files([groups[0].fragments[k] for k in together.values()], stored)] if together else []
+            done = set(together.values())
             for k, f in enumerate(groups[0].fragments):
+                if k in done:
+                    continue
                 if (high is None or base < high) and (low is None or base + f.rows > low):
                     glued = None
                     shifts = {g.fragments[k].start for g in groups}

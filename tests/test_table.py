@@ -370,6 +370,27 @@ def test_external(spark, people, tmp_path):
         external.register(spark, root, [])
 
 
+def test_many_external_files_are_one_scan(spark, tmp_path):
+    folder = str(tmp_path / "files")
+    spark.range(0, 1000, numPartitions=8).write.parquet(folder)
+    files = external.explore(spark, folder)
+    rows = spark.read.parquet(folder).select("id", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("pos"))
+    rows.where("id % 5 = 0 and id < 500").select("file_path", "pos").write.parquet(str(tmp_path / "dels"))
+    rows.where("id % 7 = 0 and id >= 500").select("file", "pos").write.partitionBy("file").parquet(str(tmp_path / "vectors"))
+    data = [external.DataFile(f.path, (("positional", str(tmp_path / "dels")) if k < 4 else ("vector", f"{tmp_path}/vectors/file={f.path.rsplit('/', 1)[1]}"),)) for k, f in enumerate(files)]
+    planned = external.plan(spark, data, Properties({"iceberg.snapshot_id": 1}))
+    want = [i for i in range(1000) if (i % 5 if i < 500 else i % 7)]
+    root = str(tmp_path / "t")
+    external.register(spark, root, planned)
+    external.register(spark, root, files[:2])
+    table = Table.load(spark, root)
+    assert table.count() == len(want) + 250
+    scan = table.scan()
+    assert sorted(r.id for r in scan.collect()) == sorted([*want, *range(250)])
+    assert [r.id for r in table.scan(ordered=True).collect()] == [*want, *range(250)]
+    assert scan._jdf.queryExecution().optimizedPlan().toString().count("parquet") <= 8  # the files, two kinds of deletes and the repeated ones
+
+
 def test_paths():
     assert normal("file:///a/b%20c") == normal("file:/a/b c") == normal("/a/b c")
     assert normal("abfss://box@acc.dfs.core.windows.net/x") == "abfss://box/x" and normal("s3a://b/k") == "s3a://b/k"
