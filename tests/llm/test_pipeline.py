@@ -36,9 +36,11 @@ def test_stages(spark, sf):
             assert sorted(d for d, _ in after) == sorted(d for d, _ in before if d not in held) and 5001 in held
         else:
             assert [d for d, _ in sorted(before)] == [d for d, _ in sorted(after)]
-            for (_, a), (_, b) in zip(sorted(before), sorted(after), strict=True):
-                assert not any(pii.base_spans(k, b) for k in ("email", "card"))
-                assert (a == b) == (not any(pii.base_spans(k, a) or pii.loose_spans(k, a, []) for k in pii.KINDS)) or a != b or "x" in a
+            changed = {d for (d, a), (_, b) in zip(sorted(before), sorted(after), strict=True) if a != b}
+            strict = {d for d, t in before if any(pii.base_spans(k, t) for k in pii.KINDS)}
+            loose = {d for d, t in before if any(pii.loose_spans(k, t, []) for k in pii.KINDS)}
+            assert strict <= changed <= strict | loose and 5002 in changed  # test_hard_texts has the very texts
+            assert not any(pii.base_spans(k, b) for _, b in after for k in ("email", "card"))
         docs = out
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = P.packed(spark, docs, sf).collect()
