@@ -21,11 +21,11 @@ import pyarrow as pa
 from lamellar.llm import kernels as K
 
 #: Distinct pieces remembered in a Python worker before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: An odd number, the base of the hash that looks pieces up.
 BASE = 0x5851F42D4C957F2D
 #: Text bytes encoded at once, and those hashed at once (which fit a core's cache).
-BLOCK_BYTES, PART_BYTES = 4 << 20, 256 << 10
+BLOCK_BYTES, PART_BYTES = 1 << 20, 256 << 10
 #: Pieces that make one string for the tokenizer.
 JOINED = 64
 
