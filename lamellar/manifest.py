@@ -20,6 +20,7 @@ class Fragment:
 
     buckets: into how many parts the folder is dealt by ranges of span ordinals; 0
     for external files.  total: rows written to the folder.  deletes: a table of (file_path, pos), or (vector) of positions, if any.
+    bytes: of the folder's files, if it was written here.
     """
 
     path: str
@@ -31,6 +32,7 @@ class Fragment:
     deletes: str | None = None
     live: int | None = None
     vector: bool = False
+    bytes: int = 0
 
     @property
     def rows(self) -> int:

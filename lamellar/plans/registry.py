@@ -222,7 +222,7 @@ def _(spark, d):
     return t.rows(["o_orderkey"]).groupBy(F.floor(F.col(writer.ROW) / 8192).alias("chunk")).agg(F.count("*").alias("n"))
 
 
-@query("a03_zone_stats", "SELECT CAST(floor(o_orderkey / 1000) AS BIGINT) AS chunk, 'o_custkey' AS \"column\", count(*) AS rows, CAST(count(*) - count(o_custkey) AS BIGINT) AS nulls, CAST(min(o_custkey) AS VARCHAR) AS least, CAST(max(o_custkey) AS VARCHAR) AS greatest FROM orders GROUP BY 1")
+@query("a03_zone_stats", "SELECT CAST(floor(o_orderkey / 1000) AS BIGINT) AS chunk, 'o_custkey' AS \"column\", count(*) AS rows, CAST(count(*) - count(o_custkey) AS BIGINT) AS nulls, CAST(min(o_custkey) AS VARCHAR) AS least, CAST(max(o_custkey) AS VARCHAR) AS greatest, CAST(0 AS BIGINT) AS nans, CAST(sum(o_custkey) AS DOUBLE) AS total FROM orders GROUP BY 1")
 def _(spark, d):
     return _chunks(spark, d, "orders", 1000, 0, ORDERS).statistics().where(F.col("column") == "o_custkey").drop("bytes")
 
@@ -251,6 +251,11 @@ def _(spark, d):
     return t.rows(["o_orderkey", "o_totalprice"], t.count() // 3, t.count() // 2).drop(writer.ROW)
 
 
+@query("o04_scan_limit", "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 100000 ORDER BY o_orderkey LIMIT 70")
+def _(spark, d):
+    return table(spark, d, "orders", ORDERS).scan(["o_orderkey", "o_custkey"], "o_totalprice > 100000", ordered=True, limit=70)
+
+
 @query("o03_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
 def _(spark, d):
     return table(spark, d, "orders", ORDERS).scan(["o_orderkey", "o_totalprice"], ordered=True).limit(100)

@@ -74,6 +74,10 @@ class Store:
             return []
         return sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(self.at(path))) if x.isFile())
 
+    def total_size(self, path: str) -> int:
+        """Bytes of a folder's files."""
+        return sum(x.getLen() for x in self._fs.listStatus(self._path(self.at(path))) if x.isFile())
+
     def size(self, path: str) -> int:
         return self._fs.getFileStatus(self._path(self.at(path))).getLen()
 

@@ -71,14 +71,13 @@ def write(df: DataFrame, root: str, properties: Properties | None = None, order_
     buckets = max(1, min(MOST_BUCKETS, -(-n // _file_rows(df, properties))))
     span = -(-n // (RANGES * buckets)) if buckets > 1 else n
     rows = rows.withColumn(RANGE, F.floor(F.col(ROW) / span).cast("int"))
-    out: list[ColumnGroup] = []
+    out, store = [], Store(df.sparkSession, root)
     paths = [f"{root.rstrip('/')}/_data/{i}_{uuid.uuid4().hex}.parquet" for i in range(len(groups))]
     try:
         for g, path in zip(groups, paths, strict=True):
             _write_group(rows.select(*[F.col(f"`{c}`") for c in g], RANGE, ROW), path, buckets, n, properties)
-            out.append(ColumnGroup(tuple(g), (Fragment(path, 0, n, buckets, n, span),), fmt))
+            out.append(ColumnGroup(tuple(g), (Fragment(path, 0, n, buckets, n, span, bytes=store.total_size(path)),), fmt))
     except Exception:
-        store = Store(df.sparkSession, root)
         for path in paths:
             store.delete(path)
         raise

@@ -207,8 +207,8 @@ class Table:
 
     # Scans
 
-    def scan(self, columns: Sequence[str] | None = None, predicate: str | None = None, best_effort: bool = False, ordered: bool = False) -> DataFrame:
-        """Rows for which the predicate is true, which may use columns outside the projection; best_effort: a superset of them."""
+    def scan(self, columns: Sequence[str] | None = None, predicate: str | None = None, best_effort: bool = False, ordered: bool = False, limit: int | None = None) -> DataFrame:
+        """Rows for which the predicate is true, which may use columns outside the projection; best_effort: a superset of them.  limit: at most so many, the first ones if ordered."""
         columns = self._columns(columns)
         if predicate is None:
             out = self.rows(columns, numbered=ordered)
@@ -217,7 +217,8 @@ class Table:
             needed = _references(self.spark, self.schema.fieldNames(), parsed.text)  # groups without any are not read
             out = self.rows([*columns, *[c for c in needed if c not in columns]], numbered=ordered)
             out = out if parsed.text is None else out.where(parsed.column)
-        return (out.orderBy(ROW) if ordered else out).select(columns)
+        out = out.orderBy(ROW) if ordered else out
+        return (out if limit is None else out.limit(limit)).select(columns)
 
     def view(self, name: str) -> DataFrame:
         """Register the table for SQL: joins, aggregates and windows are Spark's."""
@@ -294,7 +295,7 @@ class Chunks:
         self.columns = [c for c in (columns or own.columns) if c in own.columns]
         if not self.columns:
             raise InvalidArgument("the group has none of these columns")
-        self.table, size = table, table.properties["reader.logical_chunk_rows"]
+        self.table, self.group, size = table, group, table.properties["reader.logical_chunk_rows"]
         self.bounds, base = [], 0
         for f in own.fragments:
             self.bounds += [(base + a, base + min(a + size, f.rows)) for a in range(0, f.rows, size)]
@@ -334,8 +335,15 @@ class Chunks:
         found = rows.join(F.broadcast(asked), (F.col(ROW) >= F.col("__low")) & (F.col(ROW) < F.col("__high")))
         return found.orderBy("__ask", ROW).select(self.columns)
 
+    def sizes(self) -> list[int]:
+        """Stored bytes of each chunk, as its share of its fragment's files; 0 for external files, whose sizes a manifest doesn't know."""
+        own = self.table.manifest.groups[self.group].fragments
+        each = [f.bytes / f.total if f.bytes and f.total else 0.0 for f in own]
+        ends = [sum(f.rows for f in own[: k + 1]) for k in range(len(own))]
+        return [round((b - a) * each[bisect_right(ends, a)]) for a, b in self.bounds]
+
     def statistics(self) -> DataFrame:
-        """chunk, column, rows, nulls, least, greatest (as text) and bytes of each column's values."""
+        """chunk, column, rows, nulls, nans, least, greatest (as text), total (the sum of numbers) and bytes of each column's values."""
         size = self.table.properties["reader.logical_chunk_rows"]
         starts = self.table.spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(self.bounds)], "chunk long, __low long, __high long")
         rows = self.table.rows(self.columns)
@@ -347,6 +355,10 @@ class Chunks:
         for i, c in enumerate(self.columns):
             v = F.col(f"`{c}`")
             text = v.cast("string") if not isinstance(self.table.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType)) else F.to_json(F.struct(v))
-            aggs.append(F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.sum(v.isNull().cast("long")).alias("nulls"), (F.min(v) if not isinstance(self.table.schema[c].dataType, T.MapType) else F.lit(None)).cast("string").alias("least"), (F.max(v) if not isinstance(self.table.schema[c].dataType, T.MapType) else F.lit(None)).cast("string").alias("greatest"), F.sum(F.octet_length(text)).alias("bytes")).alias(f"s{i}"))
+            kind = self.table.schema[c].dataType
+            number, broken = isinstance(kind, T.NumericType), isinstance(kind, (T.FloatType, T.DoubleType))
+            nans = F.sum(F.isnan(v).cast("long")) if broken else F.lit(0).cast("long")
+            total = F.sum((F.when(~F.isnan(v), v) if broken else v).cast("double")) if number else F.lit(None).cast("double")
+            aggs.append(F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.sum(v.isNull().cast("long")).alias("nulls"), F.coalesce(nans, F.lit(0)).alias("nans"), total.alias("total"), (F.min(v) if not isinstance(self.table.schema[c].dataType, T.MapType) else F.lit(None)).cast("string").alias("least"), (F.max(v) if not isinstance(self.table.schema[c].dataType, T.MapType) else F.lit(None)).cast("string").alias("greatest"), F.sum(F.octet_length(text)).alias("bytes")).alias(f"s{i}"))
         out = rows.groupBy("chunk").agg(*aggs)
         return out.select("chunk", F.explode(F.array(*[F.col(f"s{i}") for i in range(len(self.columns))])).alias("s")).select("chunk", "s.*")

@@ -128,10 +128,15 @@ def test_chunks(spark, people):
     chunks = Table.load(spark, root, properties=Properties({"reader.logical_chunk_rows": 30})).chunks()
     assert chunks.row_counts() == [30, 30, 30, 10, 30, 30, 30, 10] and len(chunks) == 8
     assert chunks.of_rows([99, 5, 31, 100, 6]) == [3, 0, 1, 4]
+    own = Table.load(spark, root).manifest.groups[0].fragments
+    assert all(f.bytes > 0 for f in own) and abs(sum(chunks.sizes()) - sum(f.bytes for f in own)) <= len(chunks) and chunks.sizes()[0] > chunks.sizes()[3]
     assert [r.age for r in chunks.read(3).collect()] == list(range(90, 100))
     assert [r.age for r in chunks.read_many([4, 3, 4]).collect()] == [*range(30), *range(90, 100), *range(30)]
     stats = {(r.chunk, r.column): r for r in chunks.statistics().collect()}
-    assert (stats[(3, "age")].least, stats[(3, "age")].greatest, stats[(3, "age")].rows) == ("90", "99", 10)
+    assert (stats[(3, "age")].least, stats[(3, "age")].greatest, stats[(3, "age")].rows, stats[(3, "age")].total) == ("90", "99", 10, 945.0)
+    odd = spark.createDataFrame([(1.5,), (float("nan"),), (None,)], "x double").coalesce(1)
+    (one,) = Table.load(spark, stored(odd)).chunks().statistics().collect()
+    assert (one.rows, one.nulls, one.nans, one.total) == (3, 1, 1, 1.5)
     with pytest.raises(InvalidArgument):
         chunks.of_rows([200])
     with pytest.raises(InvalidArgument):
