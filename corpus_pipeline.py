@@ -53,7 +53,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; all rows with a doc_id of which one text holds an item go, null ids being one."""
     found = decontamination.contaminated(docs, common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("held")).distinct()
-    kept = docs.select(F.col("doc_id").cast("long").alias("id"), _row(docs).alias("row")).join(found, F.col("id").eqNullSafe(F.col("held")), "left_anti")
+    found = common.settled(found)
+    few = F.broadcast(found) if found.count() <= decontamination.BROADCAST_ROWS else found  # ids alone: documents stay where they are
+    kept = docs.select(F.col("doc_id").cast("long").alias("id"), _row(docs).alias("row")).join(few, F.col("id").eqNullSafe(F.col("held")), "left_anti")
     return _back(kept, "row", docs.columns)
 
 
