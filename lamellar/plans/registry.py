@@ -464,7 +464,9 @@ def _(spark, d):
 
 @query("s30_segment_take", "SELECT doc_id, text FROM documents WHERE doc_id IN (1, 3, 90, 150)")
 def _(spark, d):
-    return Segment.open(spark, _segment(spark, d)[0], {"text": "string"}).take([1, 3, 90, 150], ["doc_id", "text"])
+    segment = Segment.open(spark, _segment(spark, d)[0], {"text": "string"})
+    numbers = segment.table.rows(["doc_id"]).where("doc_id IN (1, 3, 90, 150)").select(writer.ROW).collect()
+    return segment.take(sorted(r[0] for r in numbers), ["doc_id", "text"])
 
 
 # SQL

@@ -27,31 +27,47 @@ ROW, RANGE = "__row", "__range"
 MOST_BUCKETS, RANGES = 100_000, 4
 
 
+def _scans_files(df: DataFrame) -> bool:
+    """Whether df reads files as they are, but for projections and filters, so that rows of one piece of a file stay together and in order."""
+
+    def narrow(plan) -> bool:
+        kind, inner = plan.getClass().getSimpleName(), plan.children()
+        if inner.size() == 0:
+            return kind == "LogicalRelation" and any(plan.metadataOutput().apply(i).name() == "_metadata" for i in range(plan.metadataOutput().size()))
+        return kind in ("Project", "Filter", "SubqueryAlias") and narrow(inner.apply(0))
+
+    return narrow(df._jdf.queryExecution().analyzed())
+
+
 def numbered(df: DataFrame, order_by: Sequence[str] = (), settle: bool = True) -> tuple[DataFrame, int]:
     """df with ROW = 0, 1, ... and the number of rows.
 
-    The numbers follow order_by, or else the order of partitions and of rows in
-    them.  settle keeps the rows in the shared folder first, so that counting and
-    all groups see one order; it may be left out for plain file scans alone, which
-    repeat theirs.
+    The numbers follow order_by; or else, in a scan of files, the order of their
+    paths and of rows in them, whatever partitions Spark makes of them (it puts large
+    files first); or else the order of partitions and of rows in them.  settle keeps
+    the rows in the shared folder first, so that counting and all groups see one
+    order; it may be left out for plain file scans alone, which repeat theirs.
     """
-    spark = df.sparkSession
+    spark, keys = df.sparkSession, ["__part"]
     if {ROW, RANGE} & set(df.columns):
         raise InvalidArgument(f"{ROW} and {RANGE} are reserved")
     if order_by:
         df = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order_by).sortWithinPartitions(*order_by)
+    elif _scans_files(df):
+        own, keys = df.metadataColumn("_metadata"), ["__path", "__start", "__part"]
+        df = df.select("*", own.getField("file_path").alias("__path"), own.getField("file_block_start").alias("__start"))
     if settle or order_by:
         shared_path(spark, "rows")
         df = df.checkpoint()
-    counts = {r[0]: r[1] for r in df.groupBy(F.spark_partition_id()).count().collect()}  # a number for each partition
-    base, done = [], 0
-    for part in sorted(counts):
-        base.append((part, done))
-        done += counts[part]
     tagged = df.withColumn("__part", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    starts = spark.createDataFrame(base, "__part int, __base long")
+    counts = tagged.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__place").alias("first")).collect()  # a row for each partition, or piece of a file
+    base, done = [], 0
+    for piece in sorted(counts, key=lambda r: r[: len(keys)]):
+        base.append((*piece[: len(keys)], done - piece["first"]))
+        done += piece["n"]
+    starts = spark.createDataFrame(base, ", ".join(f"{k} {tagged.schema[k].dataType.simpleString()}" for k in keys) + ", __base long")
     number = F.coalesce(F.col("__base") + F.col("__place"), F.raise_error(F.lit("the rows moved while they were numbered; write them with settle")).cast("long"))
-    return tagged.join(F.broadcast(starts), "__part", "left").withColumn(ROW, number).drop("__part", "__place", "__base"), done
+    return tagged.join(F.broadcast(starts), keys, "left").withColumn(ROW, number).drop(*keys, "__place", "__base"), done
 
 
 def write(df: DataFrame, root: str, properties: Properties | None = None, order_by: Sequence[str] = (), groups: Sequence[Sequence[str]] | None = None, settle: bool = True) -> list[ColumnGroup]:

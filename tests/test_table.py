@@ -18,7 +18,7 @@ from lamellar.functions.predicate import parse
 from lamellar.manifest import Fragment, Index, Manifest
 from lamellar.operators import commit, deletes, grouping, lob
 from lamellar.operators.commit import Transaction, load, overwrite
-from lamellar.plans.registry import patterns, stored
+from lamellar.plans.registry import QUERIES, patterns, stored
 from lamellar.properties import Properties
 from lamellar.sources import external, writer
 from lamellar.sources.store import Store, normal, shared_path
@@ -495,3 +495,25 @@ def test_scan_of_nothing_written(spark, sf, tmp_path):
     assert "s05_scan_empty" not in registry.QUERIES
     empty = Table.load(spark, str(tmp_path / "none"), schema=registry.source(spark, sf, "region").schema).scan()
     assert empty.columns == ["r_regionkey", "r_name"] and empty.collect() == []
+
+
+def test_rows_of_files_are_numbered_by_path(spark, tmp_path):
+    """Spark puts large files first; numbers follow paths, also behind filters, with rows settled or not."""
+    folder, sizes = str(tmp_path / "documents.parquet"), [3, 40, 400, 90, 2000]
+    for k, n in enumerate(sizes):
+        low = sum(sizes[:k])
+        spark.range(low, low + n, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.repeat(F.col("id").cast("string"), 1 + 2000 * (k % 2))).alias("text")).write.mode("append").parquet(f"{tmp_path}/{k}")
+        own = next(Path(f"{tmp_path}/{k}").glob("*.parquet"))
+        Path(folder).mkdir(exist_ok=True)
+        Path(folder, f"part-{k:04}.parquet").write_bytes(own.read_bytes())
+    df = spark.read.parquet(folder)
+    assert [r[0] for r in df.select("doc_id").collect()] != list(range(sum(sizes)))
+    for settle in (True, False):
+        for where, step in (("true", 1), ("doc_id % 3 = 0", 3)):
+            rows, n = writer.numbered(df.where(where), settle=settle)
+            assert rows.where(f"doc_id <> {writer.ROW} * {step}").count() == 0 and n == rows.select(writer.ROW).distinct().count() == -(-sum(sizes) // step)
+            assert rows.columns == ["doc_id", "text", writer.ROW]
+    got = QUERIES["s30_segment_take"](spark, str(tmp_path))
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3, 90, 150]
+    shuffled, n = writer.numbered(df.orderBy(F.desc("doc_id")))
+    assert shuffled.where(f"doc_id <> {n - 1} - {writer.ROW}").count() == 0
