@@ -33,19 +33,29 @@ def of_files(spark: SparkSession, fragments: Sequence[Fragment]) -> DataFrame |
     return out
 
 
+def _against(deletes: DataFrame, small: bool) -> DataFrame:
+    """deletes as the right side of a join.  Spark goes by the size of files, which positions compress to next to nothing, so it must be told."""
+    return F.broadcast(deletes) if small else deletes.hint("merge")
+
+
 def without_positions(rows: DataFrame, deletes: DataFrame, file: str = "__file", place: str = "__pos", small: bool | None = None) -> DataFrame:
     """rows whose (file, position) is in no delete; small: whether deletes may be broadcast, else their count is checked."""
-    own = distinct_positions(deletes)
-    small = own.count() <= BROADCAST_ROWS if small is None else small
-    own = F.broadcast(own) if small else own
-    return rows.join(own, (rows[file] == own["file_path"]) & (rows[place] == own["pos"]), "left_anti")
+    own = distinct_positions(deletes).where("file_path is not null")
+    counts = own.groupBy("file_path").agg(F.count("*").alias("n")).collect()  # a number for each file
+    small = sum(r["n"] for r in counts) <= BROADCAST_ROWS if small is None else small
+    # Paths are long: files are joined by a number of theirs.
+    names = rows.sparkSession.createDataFrame([(r["file_path"], i) for i, r in enumerate(counts)], "__name string, __number int")
+    names = F.broadcast(names) if len(counts) <= BROADCAST_ROWS else names
+    own = own.join(names, own["file_path"] == names["__name"]).select(F.col("__number").alias("__of"), F.col("pos").alias("__gone"))
+    keyed = rows.join(names, rows[file] == names["__name"], "left").drop("__name")
+    return keyed.join(_against(own, small), (F.col("__number") == F.col("__of")) & (F.col(place) == F.col("__gone")), "left_anti").drop("__number")
 
 
 def without_vector(rows: DataFrame, positions: DataFrame, place: str = "__pos", small: bool | None = None) -> DataFrame:
     """rows whose position is not in a deletion vector (column pos)."""
     own = positions.select(F.col("pos").cast("long").alias("pos")).distinct()
     small = own.count() <= BROADCAST_ROWS if small is None else small
-    own = F.broadcast(own) if small else own
+    own = _against(own, small)
     return rows.join(own, rows[place] == own["pos"], "left_anti")
 
 

@@ -326,10 +326,19 @@ def _(spark, d):
 # Deletes and external files
 
 
+#: Rows that one task sorts into a file.
+FILE_ROWS = 1_000_000
+
+
+def _quarters(df: DataFrame) -> int:
+    """Files of at most about FILE_ROWS that a quarter of df makes."""
+    return max(1, -(-df.count() // (4 * FILE_ROWS)))
+
+
 def files_of(spark, d, name, key) -> str:
-    """A folder of a few files that follow each other by the key."""
-    folder = shared_path(spark, "files")
-    source(spark, d, name).repartitionByRange(4, key).sortWithinPartitions(key).write.parquet(folder)
+    """A folder of files that follow each other by the key: a few, or as many as keep one task's rows below FILE_ROWS."""
+    folder, df = shared_path(spark, "files"), source(spark, d, name)
+    df.repartitionByRange(4 * _quarters(df), key).sortWithinPartitions(key).write.parquet(folder)
     return folder
 
 
@@ -364,7 +373,9 @@ def _(spark, d):
 @query("d03_live_rows_per_file", "SELECT o_orderkey % 4 AS part, count(*) AS live FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1")
 def _(spark, d):
     orders, folder, dels = source(spark, d, "orders"), shared_path(spark, "files"), shared_path(spark, "deletes")
-    orders.withColumn("part", F.col("o_orderkey") % 4).repartition(4, "part").write.partitionBy("part").parquet(folder)
+    pieces = _quarters(orders)
+    number = F.pmod(F.col("o_orderkey"), F.lit(4)) * pieces + F.pmod(F.xxhash64("o_orderkey"), F.lit(pieces))
+    orders.withColumn("part", F.col("o_orderkey") % 4).repartitionById(4 * pieces, number.cast("int")).write.partitionBy("part").parquet(folder)
     rows = spark.read.parquet(folder).select("part", "o_orderkey", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__pos"))
     rows.where("o_orderkey % 7 = 0").select(F.col("__file").alias("file_path"), F.col("__pos").alias("pos")).write.parquet(dels)
     return deletes.without_positions(rows, spark.read.parquet(dels)).groupBy("part").agg(F.count("*").alias("live"))

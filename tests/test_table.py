@@ -18,6 +18,7 @@ from lamellar.functions.predicate import parse
 from lamellar.manifest import Fragment, Index, Manifest
 from lamellar.operators import commit, deletes, grouping, lob
 from lamellar.operators.commit import Transaction, load, overwrite
+from lamellar.plans import registry
 from lamellar.plans.registry import QUERIES, patterns, stored
 from lamellar.properties import Properties
 from lamellar.sources import external, writer
@@ -517,3 +518,30 @@ def test_rows_of_files_are_numbered_by_path(spark, tmp_path):
     assert sorted(r.doc_id for r in got.collect()) == [1, 3, 90, 150]
     shuffled, n = writer.numbered(df.orderBy(F.desc("doc_id")))
     assert shuffled.where(f"doc_id <> {n - 1} - {writer.ROW}").count() == 0
+
+
+def test_many_deletes_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Files of positions are small, the rows in memory aren't: what is more than BROADCAST_ROWS is joined with a shuffle."""
+    spark.range(2000).repartition(3).write.parquet(f"{tmp_path}/files")
+    rows = spark.read.parquet(f"{tmp_path}/files").select("id", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__pos"))
+    rows.where("id % 3 = 0").select(F.col("__file").alias("file_path"), F.col("__pos").alias("pos")).unionByName(spark.createDataFrame([(None, 1), ("elsewhere", 2), ("elsewhere", None)], "file_path string, pos long")).write.parquet(f"{tmp_path}/gone")
+    gone, whole = spark.read.parquet(f"{tmp_path}/gone"), spark.range(2000).select("id", F.col("id").alias("__pos"))
+    whole.where("id % 3 = 0").write.parquet(f"{tmp_path}/vector")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for most, join in ((10, "SortMergeJoin"), (10_000, "BroadcastHashJoin")):
+        monkeypatch.setattr(deletes, "BROADCAST_ROWS", most)
+        left = deletes.without_positions(rows, gone)
+        vector = deletes.without_vector(whole, spark.read.parquet(f"{tmp_path}/vector").withColumnRenamed("__pos", "pos"))
+        for df in (left, vector):
+            assert [x.strip(" +-:").split(" ")[0] for x in plan(df).splitlines() if "LeftAnti" in x] == [join]
+            assert sorted(r.id for r in df.collect()) == [i for i in range(2000) if i % 3]
+        assert left.columns == rows.columns
+
+
+def test_files_grow_in_number(spark, sf, monkeypatch):
+    """No task sorts more than about FILE_ROWS rows into a file."""
+    monkeypatch.setattr(registry, "FILE_ROWS", 100, raising=False)
+    found = spark.read.parquet(registry.files_of(spark, sf, "orders", "o_orderkey")).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high")).orderBy("low").collect()
+    n = sum(r.n for r in found)
+    assert len(found) > n // 150 and max(r.n for r in found) <= 300 and all(a.high < b.low for a, b in zip(found, found[1:]))
+    assert registry.QUERIES["d03_live_rows_per_file"](spark, sf).count() == 4
