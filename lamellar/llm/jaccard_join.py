@@ -39,6 +39,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 LEAST_BITS, ROUNDS = 6, 2
 #: Documents of regions that one task compares; pairs of them, and shingles whose cells are found, at once.
 REGION_ROWS, PAIRS, CELL_SHINGLES = 20_000, 1 << 17, 1 << 17
+#: Shingles of a block of a region whose sets are compared, as long as these are BLOCKS or fewer; of a block at most; of all that one task compares.
+BLOCK_SHINGLES, BLOCKS, MOST_SHINGLES, TASK_SHINGLES = 1 << 17, 8, 1 << 21, 1 << 18
 
 
 class Levels:
@@ -317,41 +319,105 @@ def _parter(turn: int):
     return part
 
 
+class _Regions:
+    """Rows (region, node, root, size, band, sketch) of some regions; half, if given: 0, or which of two blocks a row is in, and then rows of one block don't meet."""
+
+    def __init__(self, rows: pa.Table):
+        column = lambda name: rows.column(name).to_numpy()
+        self.node, self.first, doc = np.unique(column("node"), return_index=True, return_inverse=True)
+        self.root, self.sizes = column("root")[self.first], column("size")[self.first]
+        self.sketches = Sketches([np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("sketch").take(pa.array(self.first))])
+        half = column("half") if "half" in rows.column_names else np.zeros(len(doc), np.int8)
+        self.order = np.lexsort((self.sizes[doc], column("region")))
+        self.name, self.doc, self.band, self.half = (x[self.order] for x in (column("region"), doc, column("band"), half))
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """Rows x and y (by size within regions), their nodes' numbers and the bound on what is in one of their sets alone, of pairs that are of different components (root, as it is by then) and that bands, sizes and sketches leave possible."""
+        name, doc, band, half, sizes = self.name, self.doc, self.band, self.half, self.sizes
+        rank = np.cumsum(np.concatenate([np.zeros(min(1, len(name)), np.int64), name[1:] != name[:-1]])) << 32
+        # Of its region, a document meets those that are not smaller and not too large: a run of the rows after its own.
+        reach = np.searchsorted(rank | sizes[doc], rank | sizes[doc] * DENOMINATOR // NUMERATOR, side="right")
+        meets, low = reach - np.arange(len(name)) - 1, 0
+        upto = np.concatenate([[0], np.cumsum(meets)])
+        while low < len(name):  # some hundred thousand pairs at once
+            high = max(low + 1, int(np.searchsorted(upto, upto[low] + PAIRS, side="right")) - 1)
+            for start in range(0, int(upto[high] - upto[low]), PAIRS):
+                k = np.arange(start, min(start + PAIRS, int(upto[high] - upto[low]))) + upto[low]
+                x = np.searchsorted(upto, k, side="right") - 1
+                y = x + 1 + k - upto[x]
+                # Within the threshold of the pivot on one side, beyond twice that on the other: too far apart.
+                fits = (self.root[doc[x]] != self.root[doc[y]]) & (np.abs(band[x] - band[y]) < 2) & ((half[x] == 0) | (half[x] != half[y]))
+                x, y = x[fits], y[fits]
+                a, b = doc[x], doc[y]
+                apart = self.sketches.apart(a, b)
+                close = apart * (DENOMINATOR + NUMERATOR) <= (sizes[a] + sizes[b]) * (DENOMINATOR - NUMERATOR)
+                yield x[close], y[close], a[close], b[close], apart[close]
+            low = high
+
+
+def _busy(rows: pa.Table) -> pa.Table:
+    """Rows (region, node) that are in any pair: no more than there are, however many pairs."""
+    regions = _Regions(rows)
+    busy = np.zeros(len(rows), bool)
+    for x, y, *_ in regions.pairs():
+        busy[regions.order[x]] = busy[regions.order[y]] = True
+    return rows.select(["region", "node"]).filter(pa.array(busy))
+
+
 def _comparer(rows: pa.Table) -> pa.Table:
-    """Pairs of documents in a region that are of different components and that bands, sizes and sketches leave possible."""
-    node, first, doc = np.unique(rows.column("node").to_numpy(), return_index=True, return_inverse=True)
-    root, sizes = rows.column("root").to_numpy()[first], rows.column("size").to_numpy()[first]
-    sketches = Sketches([np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("sketch").take(pa.array(first))])
-    name, band = rows.column("region").to_numpy(), rows.column("band").to_numpy()
-    order = np.lexsort((sizes[doc], name))
-    name, doc, band = name[order], doc[order], band[order]
-    rank = np.cumsum(np.concatenate([np.zeros(min(1, len(name)), np.int64), name[1:] != name[:-1]])) << 32
-    # Of its region, a document meets those that are not smaller and not too large: a run of the rows after its own.
-    reach = np.searchsorted(rank | sizes[doc], rank | sizes[doc] * DENOMINATOR // NUMERATOR, side="right")
-    meets, seen, low = reach - np.arange(len(name)) - 1, [np.zeros((0, 2), np.int64)], 0
-    upto = np.concatenate([[0], np.cumsum(meets)])
-    while low < len(name):  # some hundred thousand pairs at once
-        high = max(low + 1, int(np.searchsorted(upto, upto[low] + PAIRS, side="right")) - 1)
-        for start in range(0, int(upto[high] - upto[low]), PAIRS):
-            k = np.arange(start, min(start + PAIRS, int(upto[high] - upto[low]))) + upto[low]
-            x = np.searchsorted(upto, k, side="right") - 1
-            y = x + 1 + k - upto[x]
-            a, b = doc[x], doc[y]
-            # Within the threshold of the pivot on one side, beyond twice that on the other: too far apart.
-            fits = (root[a] != root[b]) & (np.abs(band[x] - band[y]) < 2)
-            a, b = a[fits], b[fits]
-            close = sketches.apart(a, b) * (DENOMINATOR + NUMERATOR) <= (sizes[a] + sizes[b]) * (DENOMINATOR - NUMERATOR)
-            seen.append(np.stack([node[a[close]], node[b[close]]], axis=1))
-        low = high
+    """Of rows with their sets: links that join components, and no more than it takes, so fewer than nodes.  Of rows without: all pairs that may be links."""
+    regions, seen = _Regions(rows), [np.zeros((0, 2), np.int64)]
+    if "set" not in rows.column_names:
+        seen += [np.stack([regions.node[a], regions.node[b]], axis=1) for _, _, a, b, _ in regions.pairs()]
+    else:
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in rows.column("set").take(pa.array(regions.first))]
+        _, kin = np.unique(regions.root, return_inverse=True)
+        parent, kin_of = list(range(len(sets))), kin.tolist()
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for _, _, a, b, apart in regions.pairs():
+            links, order = [], np.argsort(apart, kind="stable")  # the closest first, so that most others are in one component by then
+            for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+                p, q = find(kin_of[i]), find(kin_of[j])
+                if p == q:
+                    continue
+                one, two = sets[i], sets[j]
+                both = int(np.count_nonzero(one.take(np.searchsorted(one, two), mode="clip") == two))
+                if both * DENOMINATOR >= (len(one) + len(two) - both) * NUMERATOR:
+                    parent[q] = p
+                    links.append((i, j))
+            if links:
+                regions.root = np.array([find(i) for i in range(len(sets))])[kin]
+                seen.append(regions.node[np.array(links)])
     pairs = np.unique(np.sort(np.concatenate(seen), axis=1), axis=0)
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
+def _joining(near: DataFrame, busy: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join components, among the rows near (region, node, root, size, band) that are in busy (region, node), with the sets of these alone."""
+    own = near.join(busy, ["region", "node"], "left_semi")
+    blocks = F.greatest(F.least(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(BLOCKS)), F.ceil(F.sum("size") / MOST_SHINGLES)).cast("int")
+    cut = own.join(own.groupBy("region").agg(blocks.alias("blocks")), "region").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.when(F.col("blocks") == 1, F.col("region")).otherwise(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")))
+    half = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    cut = common.settled(cut.select(part.alias("region"), "node", "root", "size", "band", half.alias("half")))
+    buckets = max(1, -(-(cut.agg(F.sum("size").alias("n")).first()["n"] or 0) // TASK_SHINGLES))
+    dealt = cut.join(sets.select("node", "sketch", "set"), "node").withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(buckets)).cast("int")).repartitionById(buckets, F.col("bucket"))
+    return common.settled(dealt.groupBy("bucket").applyInArrow(_comparer, "a long, b long"))
+
+
 def _second(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) among members (region, node, root, size, band) of a region that are of different components.
+    """Links (a, b) among members (region, node, root, size, band) of a region that are of different components: enough to join these.
 
     No task gets a whole region of very many documents: it is parted by slices of
-    its own, and what is as large after that is compared by pairs of blocks.
+    its own, and what is as large after that is compared by pairs of blocks.  Sketches
+    tell which documents may have a link; these come again with their sets, and each
+    task joins its own, so that rows don't grow with pairs.
     """
     found = None
     for turn in range(1, ROUNDS + 1):
@@ -365,7 +431,8 @@ def _second(members: DataFrame, sets: DataFrame) -> DataFrame:
             near = few.where("blocks = 1").drop("blocks")
         buckets = max(1, -(-near.count() // REGION_ROWS))
         dealt = near.join(sets.select("node", "sketch"), "node").withColumn("bucket", F.pmod(F.xxhash64("region"), F.lit(buckets)).cast("int")).repartitionById(buckets, F.col("bucket"))
-        pairs = common.settled(dealt.groupBy("bucket").applyInArrow(_comparer, "a long, b long"))
+        busy = common.settled(dealt.groupBy("bucket").applyInArrow(_busy, "region long, node long"))
+        pairs = _joining(near, busy, sets)
         found = pairs if found is None else found.unionByName(pairs)
         large = few.where("blocks > 1").drop("blocks")
         if turn == ROUNDS or not large.take(1):
@@ -404,9 +471,8 @@ def linked(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     members = common.settled(members.join(sets.select("node", "root", "size"), "node").select("region", "node", "root", "size", "band"))
     del every, shared, first, off, edge, at, chosen
     common.release(spark)
-    pairs = _second(members, sets).select("a", "b", F.col("a").alias("ka"), F.col("b").alias("kb"))
-    second = common.settled(_verified(pairs, sets.select(F.col("node").alias("key"), "set")).where(_LINKED).select("a", "b"))
-    del sets, pairs, members
+    second = common.settled(_second(members, sets))
+    del sets, members
     if second.take(1):
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
     out = common.settled(narrow.join(roots, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("root", "node").alias("root"), "key"))

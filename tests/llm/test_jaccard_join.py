@@ -116,3 +116,41 @@ def test_regions_are_compared_whole(monkeypatch, pairs):
                 if both * 5 >= 4 * (len(sets[i]) + len(sets[j]) - both):
                     assert (i, j) in got
     assert got and all(i < j for i, j in got)
+
+
+def test_regions_give_few_links():
+    """The links of a region join what brute force joins, and are fewer than its documents, however many pairs link."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(6)
+    base = r.integers(0, 2**61, 90).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[r.permutation(90)[: 90 - k]], r.integers(0, 2**61, k).astype(np.uint64)])) for k in r.integers(0, 14, 300).tolist()]
+    rows = [(7, i, i, len(x), 1, J.sketch(x).tobytes(), x.astype("<u8").tobytes()) for i, x in enumerate(sets)]
+    names = ("region", "node", "root", "size", "band", "sketch", "set")
+    table = pa.table({n: pa.array([x[k] for x in rows], pa.binary() if n in ("sketch", "set") else pa.int64()) for k, n in enumerate(names)})
+
+    def groups(pairs):
+        root = list(range(len(sets)))
+        for i, j in pairs:
+            if root[i] != root[j]:
+                root = [root[i] if x == root[j] else x for x in root]
+        return {tuple(k for k, y in enumerate(root) if y == x) for x in set(root)}
+
+    both = lambda i, j: len(np.intersect1d(sets[i], sets[j]))
+    linked = [(i, j) for i in range(300) for j in range(i) if (n := both(i, j)) * 5 >= 4 * (len(sets[i]) + len(sets[j]) - n)]
+    out = J._comparer(table)
+    got = list(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True))
+    assert len(linked) > 3000 and len(got) < 300
+    assert groups(got) == groups(linked)
+
+
+def test_components_by_blocks_of_sets(spark, monkeypatch):
+    """Links found by _second are links, fewer than the rows compared, and none is lost between blocks."""
+    for name, value in (("BLOCK_SHINGLES", 400), ("MOST_SHINGLES", 1000), ("TASK_SHINGLES", 2000)):
+        monkeypatch.setattr(J, name, value, raising=False)
+    second, seen = J._second, []
+    monkeypatch.setattr(J, "_second", lambda members, sets: seen.append((second(members, sets).count(), sets.count())) or second(members, sets))
+    rows = [(k * 1000 + i, t) for k in range(2) for i, t in enumerate(near_copies(250, k, words=70 + 40 * k, edits=5 + 2 * k))]
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == brute(rows)
+    assert all(n < m for n, m in seen)
