@@ -25,6 +25,8 @@ from lamellar.sources.store import Store, shared_path
 ROW, RANGE = "__row", "__range"
 #: Spark's own limit of buckets, and ranges to a bucket on average, so that buckets are alike.
 MOST_BUCKETS, RANGES = 100_000, 4
+#: Rows that one task writes, to as many files as they make: tasks each report to the driver.
+TASK_ROWS = 65_536
 
 
 def _scans_files(df: DataFrame) -> bool:
@@ -108,7 +110,9 @@ def _file_rows(df: DataFrame, properties: Properties) -> int:
 
 def _write_group(rows: DataFrame, path: str, buckets: int, n: int, properties: Properties) -> None:
     table, seen = f"lamellar_w_{uuid.uuid4().hex}", Observation()
-    dealt = rows.repartition(buckets, RANGE).observe(seen, F.count(F.lit(1)).alias("n"))
+    tasks = max(1, min(buckets, -(-n // TASK_ROWS)))
+    bucket = F.pmod(F.hash(RANGE), F.lit(buckets))  # as Spark deals rows into buckets, each of which is one task's
+    dealt = (rows.repartition(buckets, RANGE) if tasks == buckets else rows.repartitionById(tasks, F.pmod(bucket, F.lit(tasks)))).observe(seen, F.count(F.lit(1)).alias("n"))
     writer = dealt.write.format("parquet").option("path", path).option("compression", properties["writer.compression"]).option("parquet.block.size", properties["writer.row_group_size"]).option("parquet.enable.dictionary", str(properties["writer.enable_dictionary"]).lower())
     if properties["writer.compression"] == "zstd":
         writer = writer.option("parquet.compression.codec.zstd.level", properties["writer.compression_level"])

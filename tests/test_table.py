@@ -545,3 +545,21 @@ def test_files_grow_in_number(spark, sf, monkeypatch):
     n = sum(r.n for r in found)
     assert len(found) > n // 150 and max(r.n for r in found) <= 300 and all(a.high < b.low for a, b in zip(found, found[1:]))
     assert registry.QUERIES["d03_live_rows_per_file"](spark, sf).count() == 4
+
+
+def test_a_task_writes_many_small_files(spark, sf, monkeypatch):
+    """Tasks grow with rows, not with files: each file is one bucket still, and groups meet without a sort."""
+    monkeypatch.setattr(writer, "TASK_ROWS", 300, raising=False)
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    n, root = orders.count(), shared_path(spark, "t")
+    p = Properties({**patterns("o_orderkey|o_custkey", "o_totalprice"), "writer.file_rolling.rows": 20})
+    Transaction(spark, root).append(writer.write(orders, root, p), orders.schema).commit()
+    table = Table.load(spark, root)
+    for g in table.manifest.groups:
+        names = [x for x in Store(spark, root).names(g.fragments[0].path) if x.endswith(".parquet")]
+        assert g.fragments[0].buckets == -(-n // 20) and len({x.rsplit("_", 1)[1] for x in names}) == len(names) > n // 60
+        assert len({x.split("-")[1] for x in names}) <= -(-n // 300)
+    plan = table.scan()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort [" not in plan
+    assert sorted(table.scan().collect()) == sorted(orders.collect())
+    assert [r.o_orderkey for r in table.rows(["o_orderkey", "o_totalprice"], n // 3, n // 2).orderBy(writer.ROW).collect()] == list(range(n // 3, n // 2))
