@@ -402,7 +402,8 @@ def _joining(near: DataFrame, busy: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that join components, among the rows near (region, node, root, size, band) that are in busy (region, node), with the sets of these alone."""
     own = near.join(busy, ["region", "node"], "left_semi")
     blocks = F.greatest(F.least(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.lit(BLOCKS)), F.ceil(F.sum("size") / MOST_SHINGLES)).cast("int")
-    cut = own.join(own.groupBy("region").agg(blocks.alias("blocks")), "region").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = own.groupBy("region").agg(blocks.alias("blocks")).where("blocks > 1")  # a number for a megabyte of sets at most
+    cut = own.join(F.broadcast(large), "region", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.when(F.col("blocks") == 1, F.col("region")).otherwise(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")))
     half = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     cut = common.settled(cut.select(part.alias("region"), "node", "root", "size", "band", half.alias("half")))
